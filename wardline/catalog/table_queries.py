@@ -68,13 +68,13 @@ def metrics_rates(spark, sf):
     return metrics.rates(metrics.action_breakdown(W.audit(spark, sf), "use_case"))
 
 
-@query("metrics_summary", with_(AUDIT, FEEDBACK) + f""", both AS (SELECT * FROM audit_v UNION ALL BY NAME SELECT * REPLACE ('*' AS use_case) FROM audit_v),
+@query("metrics_summary", with_(AUDIT, FEEDBACK) + f""", twice AS (SELECT * FROM audit_v UNION ALL BY NAME SELECT * REPLACE ('*' AS use_case) FROM audit_v),
 fb AS (SELECT use_case, count(*) AS feedback_count, count(*) FILTER (correct_action <> engine_action AND engine_action IN ('BLOCK', 'REDACT', 'ESCALATE')) AS fp
-  FROM feedback_v f JOIN both USING (request_id) GROUP BY use_case)
+  FROM feedback_v f JOIN twice USING (request_id) GROUP BY use_case)
 SELECT b.*, coalesce(feedback_count, 0) AS feedback_count, round(coalesce(fp / feedback_count::DOUBLE, 0), 6) AS false_positive_rate FROM (
 SELECT use_case, count(*) AS total_requests, {ACTION_COUNTS}, {LEVEL_COUNTS}, count(*) FILTER (action_taken = 'REDACT') AS pii_redactions,
 count(*) FILTER (bias_score > 0.1) AS bias_detections, count(*) FILTER (flagged_claim_count > 0) AS hallucinations_caught, round(avg(risk_score), 6) AS avg_risk_score,
-round(avg(latency_ms), 6) AS avg_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms FROM both GROUP BY use_case) b LEFT JOIN fb USING (use_case)""")
+round(avg(latency_ms), 6) AS avg_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms FROM twice GROUP BY use_case) b LEFT JOIN fb USING (use_case)""")
 def metrics_summary(spark, sf):
     s = metrics.metrics_summary(W.audit(spark, sf), W.feedback(spark, sf))
     return s.withColumns({c: F.round(c, 6) for c in ("avg_risk_score", "avg_latency_ms", "p95_latency_ms", "false_positive_rate")})

@@ -367,9 +367,9 @@ def group_breakdown(spark, sf):
 
 
 @query("confusion_by_group", with_(LABELLED_DOCS) + f""", r AS (SELECT lang, actual, score >= 0.05 AS hit, (doc_id % 400) / 8.0::DOUBLE AS ms FROM lab_v),
-both AS (SELECT * FROM r UNION ALL SELECT '*', actual, hit, ms FROM r),
+twice AS (SELECT * FROM r UNION ALL SELECT '*', actual, hit, ms FROM r),
 n AS (SELECT lang, count(*) AS cases, {CELLS_SQL}, count(*) FILTER (actual = hit) AS ok, count(*) FILTER (hit) AS llm_calls_avoided,
-round(CAST(sum(CAST(ms AS DECIMAL(20,6))) AS DOUBLE) / count(*), 4) AS average_latency_ms, round(list_sort(list(ms))[greatest(1, least(count(*), CAST(floor(count(*) * 0.95::DOUBLE + 0.999999) AS BIGINT)))], 4) AS p95_latency_ms FROM both GROUP BY lang)
+round(CAST(sum(CAST(ms AS DECIMAL(20,6))) AS DOUBLE) / count(*), 4) AS average_latency_ms, round(list_sort(list(ms))[greatest(1, least(count(*), CAST(floor(count(*) * 0.95::DOUBLE + 0.999999) AS BIGINT)))], 4) AS p95_latency_ms FROM twice GROUP BY lang)
 SELECT lang, cases, tp, tn, fp, fn, llm_calls_avoided, average_latency_ms, p95_latency_ms, round(ok / cases::DOUBLE, 6) AS action_accuracy, {RATES_SQL} FROM n""")
 def confusion_by_group(spark, sf):
     r = _labelled(spark, sf)

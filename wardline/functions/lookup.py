@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def literal_map(values: Mapping[str, object]) -> Column:
@@ -31,6 +31,17 @@ def look_up(values: Mapping[str, object], key: Column, default: object = None) -
     return first_match([(key == name, F.lit(value)) for name, value in values.items()], F.lit(default))
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """Keep later filters and projections from being copied into a long chain of expressions.
+
+    Catalyst pushes a filter through projections by writing every alias out, which multiplies a
+    long derivation many times over.  A column that depends on the partition id stops that; it
+    costs one comparison per column and moves no data.
+    """
+    here = F.spark_partition_id() >= 0
+    return df.select(*[F.when(here, F.col(c)).alias(c) for c in df.columns])
+
+
 def one_of(col: Column, values: Sequence[str]) -> Column:
     return col.isin(list(values))
 

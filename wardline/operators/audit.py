@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline import fixed_values as V
 from wardline.functions import text as T
-from wardline.functions.lookup import labels_where
+from wardline.functions.lookup import fence, labels_where
 from wardline.functions.scores import risk_level
 from wardline.operators import pii as P, secrets as X
 
@@ -204,7 +204,8 @@ def invariant_rules(df: DataFrame) -> list[tuple[Column, str]]:
 
 
 def with_violations(df: DataFrame, out: str = "violations") -> DataFrame:
-    return df.withColumn(out, labels_where([(F.coalesce(cond, F.lit(False)), name) for cond, name in invariant_rules(df)]))
+    found = labels_where([(F.coalesce(cond, F.lit(False)), name) for cond, name in invariant_rules(df)])
+    return fence(df.withColumn(out, found))
 
 
 def check_invariants(df: DataFrame) -> DataFrame:

@@ -125,56 +125,37 @@ def scan_pii(df: DataFrame, text: str, out: str = "pii", aliases: Mapping | None
 
 
 def scan_aliases(df: DataFrame, aliases: DataFrame, key: str, text: str, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Large dictionaries: word n-grams of the text joined to ``aliases(kind, concept, alias)``.
+    """Large dictionaries ``aliases(kind, concept, alias)``: long findings with offsets.
 
-    The alias side is unique per word sequence after grouping, is broadcast when its checked
-    size allows and else joined with hot phrases kept off the shuffle.
+    The distinct word sequences of each text meet the word sequences of the dictionary in an
+    equi join (broadcast when its checked size allows, else with hot phrases kept off the
+    shuffle); only texts with a hit are then searched, for the aliases they hold.
     """
-    words = lambda c: F.transform(S.matches(F.lower(c), r"(?U)\w+"), lambda m: m["value"])
+    words = lambda c: F.filter(F.split(F.lower(c), r"(?U)\W+"), lambda w: w != "")
     prepared = (
         aliases.withColumn("_words", words(F.col("alias"))).withColumn("_len", F.size("_words"))
         .withColumn("phrase", F.array_join("_words", " "))
     )
-    grouped = prepared.groupBy("phrase").agg(
-        F.array_sort(F.collect_set(F.struct("kind", "concept", "alias"))).alias("entries")
-    )
-    lengths = sorted(r[0] for r in prepared.select("_len").distinct().collect() if r[0])
-    grams = df.select(key, F.col(text).alias("_t"), S.matches(F.col(text), r"(?U)\w+").alias("_m"))
-    per_len = []
-    for n in lengths:
-        starts = F.when(F.size("_m") >= n, F.sequence(F.lit(1), F.size("_m") - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        piece = lambda i, n=n: F.slice(F.col("_m"), i, n)
-        per_len.append(F.transform(starts, lambda i: F.struct(
-            F.lower(F.array_join(F.transform(piece(i), lambda m: m["value"]), " ")).alias("phrase"),
-            F.get(piece(i), F.lit(0))["start"].alias("start"), F.get(piece(i), F.lit(n - 1))["end"].alias("end"),
-        )))
-    gram_rows = grams.select(key, F.explode(F.concat(*per_len)).alias("g"), "_t").select(
-        key, "g.phrase", "g.start", "g.end",
-        F.substring("_t", F.col("g.start") + 1, F.col("g.end") - F.col("g.start")).alias("_raw"),
-        F.substring("_t", F.col("g.end") + 1, 64).alias("_after"),
-        F.substring("_t", F.greatest(F.col("g.start") - 63, F.lit(1)), F.least(F.col("g.start"), F.lit(64))).alias("_before"),
-    )
-    joined = (
-        gram_rows.join(F.broadcast(grouped), "phrase")
-        if fits(grouped, max_rows) else join_unique(gram_rows, grouped, ["phrase"])
-    )
-    hit = joined.select(key, "start", "end", "_raw", "_before", "_after", F.explode("entries").alias("e"))
-    # The alias may carry punctuation around its words; compare it with the text as written.
-    lead = F.regexp_extract(F.col("e.alias"), r"(?U)^\W*", 0)
-    trail = F.regexp_extract(F.col("e.alias"), r"(?U)\W*$", 0)
-    full = F.lower(F.concat(
-        F.right(F.col("_before"), F.length(lead)), F.col("_raw"), F.left(F.col("_after"), F.length(trail))
-    ))
-    exact = hit.filter(full == F.lower("e.alias"))
-    return exact.select(
-        key, F.lit("pii").alias("detector"), F.col("e.kind").alias("type"),
-        (F.col("start") - F.length(lead)).alias("start"), (F.col("end") + F.length(trail)).alias("end"),
-        F.lit(V.DICTIONARY_SCORE).alias("score"), F.concat(F.lit("<"), F.col("e.kind"), F.lit(">")).alias("placeholder"),
-        F.when(F.lower("e.alias") == F.lower("e.concept"), "DICTIONARY").otherwise("ALIAS").alias("method"),
-        F.array(F.lit("taxonomy_match")).alias("signals"),
-    ).distinct()
+    grouped = prepared.groupBy("phrase").agg(F.collect_set(F.struct("kind", "concept", "alias")).alias("entries"))
+    lengths = [r[0] for r in prepared.select("_len").distinct().limit(64).collect() if r[0]]
+    staged = df.select(key, words(F.col(text)).alias("_w"))
+
+    def sequences(n: int) -> Column:
+        if n == 1:
+            return F.col("_w")
+        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))
+
+    grams = staged.select(key, F.explode(F.array_distinct(F.concat(*[sequences(n) for n in lengths]))).alias("phrase"))
+    hits = grams.join(F.broadcast(grouped), "phrase") if fits(grouped, max_rows) else join_unique(grams, grouped, ["phrase"])
+    held = hits.groupBy(key).agg(F.flatten(F.collect_list("entries")).alias("_held"))
+    found = df.select(key, F.col(text).alias("_t")).join(held, key).select(key, "_t", F.explode("_held").alias("e"))
+    quoted = F.regexp_replace(F.col("e.alias"), r"([^\p{L}\p{N}\s])", r"\\$1")
+    spans = S.matches(F.col("_t"), F.concat(F.lit(r"(?iU)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
+    method = F.when(F.lower("e.alias") == F.lower("e.concept"), "DICTIONARY").otherwise("ALIAS")
+    rows = found.withColumn("_m", spans).select(key, "e", F.explode("_m").alias("m"))
+    return rows.select(key, S.finding(
+        F.col("m"), "pii", F.col("e.kind"), F.lit(V.DICTIONARY_SCORE), method, F.array(F.lit("taxonomy_match"))).alias("f")).select(key, "f.*")
 
 
 def governed_types(target: str) -> tuple[str, ...]:
@@ -189,13 +170,13 @@ def governance_pii(df: DataFrame, findings: str, target: str, prefix: str) -> Da
     high = F.array_sort(F.array_distinct(F.transform(
         F.filter(spans, lambda s: one_of(s["type"], V.PII_HIGH_RISK_TYPES)), lambda s: s["type"])))
     risk = F.array_max(F.transform(spans, lambda s: pii_type_risk(s["type"])))
-    return (
-        out.withColumn(f"{prefix}_status", F.when(spans.isNull(), "UNAVAILABLE").otherwise("AVAILABLE"))
-        .withColumn(f"{prefix}_found", F.coalesce(F.size(spans) > 0, F.lit(False)))
-        .withColumn(f"{prefix}_count", F.when(spans.isNull(), 0).otherwise(F.size(spans)))
-        .withColumn(f"{prefix}_risk", F.coalesce(risk, F.lit(0.0)))
-        .withColumn(f"{prefix}_high", F.coalesce(high, F.array().cast("array<string>")))
-    )
+    return out.withColumns({
+        f"{prefix}_status": F.when(spans.isNull(), "UNAVAILABLE").otherwise("AVAILABLE"),
+        f"{prefix}_found": F.coalesce(F.size(spans) > 0, F.lit(False)),
+        f"{prefix}_count": F.when(spans.isNull(), 0).otherwise(F.size(spans)),
+        f"{prefix}_risk": F.coalesce(risk, F.lit(0.0)),
+        f"{prefix}_high": F.coalesce(high, F.array().cast("array<string>")),
+    })
 
 
 def findings_table(df: DataFrame, findings: str, *keep: str) -> DataFrame:

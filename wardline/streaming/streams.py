@@ -49,9 +49,10 @@ def _review_step(retention_ms: int) -> Callable:
             state.remove()
             return
         status = state.get[0] if state.exists else None
-        opened, best, seen = False, None, 0
+        opened, best, seen, newest = False, None, 0, 0
         for pdf in batches:  # one bounded chunk at a time; only the earliest decision is kept
             opened = opened or bool((pdf["kind"] == "review").any())
+            newest = max(newest, int(pd.Timestamp(pdf["ts"].max()).timestamp() * 1000))
             d = pdf[pdf["kind"] == "decision"]
             seen += len(d)
             if len(d):
@@ -69,20 +70,21 @@ def _review_step(retention_ms: int) -> Callable:
                 row = ("unknown" if status is None else "conflict", status, None, None, seen)
         if status is not None:
             state.update((status,))
-            state.setTimeoutDuration(retention_ms)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + retention_ms)
         if row is not None:
             yield pd.DataFrame([(key[0], *row)], columns=["request_id", "outcome", "status", "correct_action", "reviewer_id", "refused"])
 
     return step
 
 
-def review_states(stream: DataFrame, retention_ms: int = RETENTION_MS) -> DataFrame:
+def review_states(stream: DataFrame, retention_ms: int = RETENTION_MS, watermark: str = "1 day") -> DataFrame:
     """Keyed review state: a review opens PENDING, the earliest decision wins, later ones are refused.
 
-    Reads kind (review or decision), request_id, ts, decision_id, decision, reviewer_id.
+    Reads kind (review or decision), request_id, ts, decision_id, decision, reviewer_id.  A
+    review's state is dropped once the watermark is ``retention_ms`` past its last event.
     """
-    return stream.groupBy("request_id").applyInPandasWithState(
-        _review_step(retention_ms), REVIEW_OUT, "status string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.withWatermark("ts", watermark).groupBy("request_id").applyInPandasWithState(
+        _review_step(retention_ms), REVIEW_OUT, "status string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def govern_stream(spark: SparkSession, in_dir: str, audit_dir: str, reviews_dir: str, checkpoint: str, evidence=None, **options):
@@ -157,7 +159,8 @@ def review_events(spark: SparkSession, sf: str) -> DataFrame:
     rows = F.array_compact(F.array(
         F.when(F.col("action_taken") == "ESCALATE", opened), F.when(F.col("request_id") % 3 == 0, decided(0)),
         F.when(F.col("request_id") % 3 == 0, decided(1))))
-    return a.select("request_id", F.explode(rows).alias("r")).select("request_id", "r.*")
+    flat = a.select("request_id", F.explode(rows).alias("r")).select("request_id", "r.*")
+    return flat.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 __all__ = ["audit_events", "dedupe", "govern_stream", "review_events", "review_states", "rolling_metrics", "run_to_table", "session_metrics"]
