@@ -323,9 +323,9 @@ def segments(spark, sf):
 k AS (SELECT {SQUEEZE('s')} AS s, min(item_id) AS doc_id FROM (SELECT item_id, unnest({SENTENCES('text')}) AS s FROM benchmark) GROUP BY 1)
 SELECT c.request_id, count(*) AS supported, min(k.doc_id) AS first_doc FROM c JOIN k USING (s) WHERE length(s) >= 20 GROUP BY c.request_id""")
 def verbatim_support(spark, sf):
-    claims = confidential.segment_text(docs(spark, sf), "text", "request_id").select("request_id", F.col("segment").alias("claim")).distinct()
+    claims = bias.bias_segments(docs(spark, sf), "text", "request_id").select("request_id", F.col("segment").alias("claim"))
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    kb = confidential.segment_text(b, "text", "doc_id").select("doc_id", F.col("segment").alias("claim"))
+    kb = bias.bias_segments(b, "text", "doc_id").select("doc_id", F.col("segment").alias("claim"))
     hit = G.verbatim_support(claims, kb, "request_id").distinct()
     return hit.groupBy("request_id").agg(F.count("*").alias("supported"), F.min("doc_id").alias("first_doc"))
 

@@ -181,6 +181,12 @@ def segments(text: Column, boundary: str) -> Column:
     return F.aggregate(pairs, start, step)["out"]
 
 
+def segment_texts(text: Column, boundary: str) -> Column:
+    """The same pieces without offsets, which needs no running position."""
+    trimmed = F.transform(F.split(text, boundary, -1), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return F.filter(trimmed, lambda p: p != "")
+
+
 def explode_findings(df: DataFrame, spans_col: str, *keep: str) -> DataFrame:
     """The long findings table: one row per span, no text."""
     return df.select(*keep, F.explode(spans_col).alias("f")).select(*keep, "f.*")
