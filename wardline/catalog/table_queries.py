@@ -38,6 +38,12 @@ def metrics_latency(spark, sf):
     return s.select("use_case", F.round("avg_latency_ms", 6).alias("avg_latency_ms"), F.round("p95_latency_ms", 6).alias("p95_latency_ms"))
 
 
+@query("metrics_latency_all", with_(AUDIT) + "SELECT round(avg(latency_ms), 6) AS avg_latency_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms FROM audit_v")
+def metrics_latency_all(spark, sf):
+    s = metrics.latency_stats(W.audit(spark, sf))
+    return s.select(F.round("avg_latency_ms", 6).alias("avg_latency_ms"), F.round("p95_latency_ms", 6).alias("p95_latency_ms"))
+
+
 @query("metrics_use_case", with_(AUDIT) + f"""SELECT use_case, count(*) AS total_requests, round(avg(risk_score), 6) AS avg_risk_score,
 round(avg(latency_ms), 6) AS avg_latency_ms, {ACTION_COUNTS} FROM audit_v GROUP BY use_case""")
 def metrics_use_case(spark, sf):

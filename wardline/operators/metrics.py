@@ -51,8 +51,8 @@ def latency_stats(audit: DataFrame, *by: str) -> DataFrame:
     p95 = quantile(audit, by, "latency_ms", 0.95, "p95_latency_ms")
     if by:
         return avg.join(p95, list(by))
-    keyed = avg.withColumn("_k", F.lit(ALL)).join(p95.withColumn("_k", F.lit(ALL)), "_k", "left").drop("_k")
-    return keyed.withColumn("p95_latency_ms", F.coalesce("p95_latency_ms", F.lit(0.0)))
+    both = avg.unionByName(p95, allowMissingColumns=True)
+    return both.agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("avg_latency_ms", "p95_latency_ms")])
 
 
 def use_case_metrics(audit: DataFrame) -> DataFrame:
