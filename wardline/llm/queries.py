@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, curriculum
+from wardline.llm import chat, curriculum, embedding_join, ngram_join, suffix_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_neardup": embedding_join.op1_embedding_neardup,
+    "op4_suffix_trees": suffix_trees.op4_suffix_trees,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_curriculum_mix": curriculum.op6_curriculum_mix,
     "op10_chat_parts": chat.op10_chat_parts,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_neardup": embedding_join.OP1_SQL,
+    "op4_suffix_trees": suffix_trees.OP4_SQL,
+    "op5_ngram_join": ngram_join.OP5_SQL,
     "op6_curriculum_mix": curriculum.OP6_SQL,
     "op10_chat_parts": chat.OP10_SQL,
 }
