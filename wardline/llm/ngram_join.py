@@ -11,8 +11,10 @@ Steps:
 2. One shuffle deals prefix postings by shingle, those that the sketch calls hot by shingle and a slice of the classes;
    shingles of a single class end here. Each run also names a leader, and (leader, member) pairs are verified first.
 3. Components of the verified links settle most shingles: where all classes of a shingle are in one component, no further pair
-   can matter. If very many pairs are left, other leaders are tried, at most MAX_STARS times. All pairs that are left between
-   different components and share enough prefix shingles are then verified. No pair that could join components is skipped.
+   can matter. Shingles that stay open and have more than CROWD classes tie these into families; all pairs of a family are compared
+   in blocks of classes, as matrix products over their whole sets, and a block gives its spanning links only. Open shingles of
+   fewer classes give pairs between components, which are verified if they share enough prefix shingles. No pair that could
+   join components is skipped, and no crowd is ever written out as pairs.
 
 Nulls and edges: null or empty text, or text without words, is an empty set and links with nothing; fewer words than a shingle
 are one shingle; equal rows are in one class; rows with null doc_id get the component of their class, null if it has no other
@@ -34,9 +36,10 @@ from wardline.llm.shared import cut, documents, partitions
 SHINGLE, SIMILAR = 5, 80
 BUCKETS, SLICES = 1 << 19, 64
 MAX_MATCH, VERIFY_COST, HOT = 4, 20.0, 50_000
-MAX_STARS = 4
-#: Class ids of a verification round up to this number (16 MB) are broadcast against the documents; more are joined.
-BROADCAST_IDS = 1_000_000
+#: Open shingles of more classes are compared as families; blocks of a verification hold about so many classes.
+CROWD, BLOCK, SPREAD = 32, 512, 16
+#: Requests for texts up to this number (about 30 MB) are broadcast against the documents; more are joined.
+BROADCAST_REQUESTS = 500_000
 SIGNATURE = "doc_id long, n long, h long, h2 long, slice int, counts binary"
 Batches = Iterator[pa.RecordBatch]
 
@@ -167,36 +170,130 @@ def sizes_fit(a: Column, b: Column, similar: int) -> Column:
     return 100 * F.least(a, b) >= similar * F.greatest(a, b)
 
 
+def _keyed_groups(batches: Batches, keys: int) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Rows sorted by their first columns as slices of one key; whether the key is new."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for a, b in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows], strict=True):
+            key = tuple(int(c[a]) for c in columns)
+            yield key != last, batch.slice(a, b - a)
+            last = key
+
+
 def _verify(n_words: int, similar: int) -> Callable[[Batches], Batches]:
+    """Rows (p, q, kind, a, b, text) sorted so: the texts of all a of a block, then its pairs with the text of b."""
     kinds = [("a", pa.int64()), ("b", pa.int64())]
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            found = []
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, batch.num_rows, 200):
-                left, right = ([s for chunk in textops.chunks(batch.column(c).slice(k, 200)) for s in textops.shingle_sets(chunk, n_words)] for c in (2, 3))
-                for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both and 100 * both >= similar * (len(x) + len(y) - both):
-                        found.append((a[k + i], b[k + i]))
+        firsts: dict[int, frozenset] = {}
+        for new, part in _keyed_groups(batches, 2):
+            if new:
+                firsts = {}
+            kind, a, b, found = part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), []
+            for chunk in textops.chunks(part.column(5)):
+                for k, s in enumerate(textops.shingle_sets(chunk, n_words), chunk.first):
+                    if kind[k] == 0:
+                        firsts[a[k]] = frozenset(s.tolist())
+                        continue
+                    x = firsts[a[k]]
+                    both = len(x.intersection(s.tolist()))
+                    if both and 100 * both >= similar * (len(x) + len(s) - both):
+                        found.append((a[k], b[k]))
             if found:
                 yield _batch(kinds, *zip(*found, strict=True))
 
     return run
 
 
+def with_texts(requests: DataFrame, docs: DataFrame) -> DataFrame:
+    """Requests (doc_id, ...) with the text; a broadcast of the requests where their number is small, else a join."""
+    few = requests.count() <= BROADCAST_REQUESTS
+    return docs.select("doc_id", "text").join(F.broadcast(requests) if few else requests, "doc_id")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, n_words: int, similar: int) -> DataFrame:
-    """Of pairs (a, b) of doc ids those whose whole texts meet the threshold."""
+    """Of pairs (a, b) of doc ids those whose whole texts meet the threshold.
+
+    A block holds the sets of about BLOCK different a, and its pairs stream past with the text of b; the pairs of one a are spread
+    over SPREAD blocks, so that no a makes a task of its own.
+    """
+    spark = docs.sparkSession
     pairs = cut(pairs, "ngram-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = cut(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "ngram-texts")
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    rows = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+    blocks = max(1, -(-pairs.count() // BLOCK))
+    keyed = pairs.select(F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("p"), F.pmod(F.xxhash64("b"), F.lit(SPREAD)).alias("q"), "a", "b")
+    heads = keyed.select("p", "q", F.lit(0).alias("kind"), "a", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id")).distinct()
+    requests = cut(heads.union(keyed.select("p", "q", F.lit(1), "a", "b", "b")), "ngram-requests")
+    rows = with_texts(requests, docs).select("p", "q", "kind", "a", "b", "text")
+    rows = rows.repartition(partitions(spark), "p", "q").sortWithinPartitions("p", "q", "kind")
     return rows.mapInArrow(_verify(n_words, similar), "a long, b long")
 
 
+def spanning(sets: list[np.ndarray], similar: int, columns: int = 4096) -> np.ndarray:
+    """For each set the first one of its component under the threshold: intersections as matrix products, columns by columns."""
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets) if len(owner) else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1
+    held = count[column] > 1
+    owner, column = owner[held], rank[column[held]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for a in range(0, int(rank[-1]) + 1 if len(rank) else 0, columns):
+        here = (column >= a) & (column < a + columns)
+        m = np.zeros((len(sets), columns), np.float32)
+        m[owner[here], column[here] - a] = 1
+        both += m @ m.T
+    linked = (both > 0) & (100 * both >= similar * (size[:, None] + size[None] - both))
+    label = np.arange(len(sets))
+    while True:
+        new = np.minimum(label, np.where(linked, label[None], len(sets)).min(axis=1)) if len(sets) else label
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _families(n_words: int, similar: int) -> Callable[[Batches], Batches]:
+    """Rows (family, p, q, doc_id, text) sorted so: one pair of blocks at a time."""
+    kinds = [("a", pa.int64()), ("b", pa.int64())]
+
+    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, sets = [], []
+        for part in parts:
+            ids += part.column(3).to_pylist()
+            for chunk in textops.chunks(part.column(4)):
+                sets += list(textops.shingle_sets(chunk, n_words))
+        label = spanning(sets, similar)
+        return _batch(kinds, ids, [ids[k] for k in label])
+
+    def run(batches: Batches) -> Batches:
+        held: list[pa.RecordBatch] = []
+        for new, part in _keyed_groups(batches, 3):
+            if new and held:
+                yield links(held)
+                held = []
+            held.append(part)
+        if held:
+            yield links(held)
+
+    return run
+
+
+def family_links(families: DataFrame, docs: DataFrame, n_words: int, similar: int) -> DataFrame:
+    """Spanning links of each family (class_id, family): every pair of its classes meets in some pair of its blocks."""
+    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    own = families.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("n")).cast("int"))
+    others = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda x: x != F.col("own")))
+    each = own.select(F.col("class_id").alias("doc_id"), "family", "own", F.explode(others).alias("other"))
+    requests = cut(each.select("doc_id", "family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")), "ngram-families")
+    rows = with_texts(requests, docs).select("family", "p", "q", "doc_id", "text")
+    rows = rows.repartition(partitions(docs.sparkSession), "family", "p", "q").sortWithinPartitions("family", "p", "q")
+    return rows.mapInArrow(_families(n_words, similar), "a long, b long").where("a != b")
+
+
 def join(docs: DataFrame, n_words: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
     """Documents (doc_id, text) to (doc_id, n_shingles, class_id, component_id): links have 100*intersection >= similar*union."""
     spark = docs.sparkSession
@@ -213,35 +310,22 @@ def join(docs: DataFrame, n_words: int = SHINGLE, similar: int = SIMILAR) -> Dat
     led = led.join(one, ["h", "n"]).withColumnRenamed("class_id", "x").drop("h", "n")
     led = led.join(one.select(F.col("h").alias("lead_h"), F.col("n").alias("lead_n"), F.col("class_id").alias("y")), ["lead_h", "lead_n"])
     ordered = lambda df: df.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = tried = None
-
-    def try_pairs(pairs: DataFrame) -> None:
-        nonlocal links, tried
-        new = cut(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs, "ngram-tried")
-        found = cut(verified(new, docs, n_words, similar), "ngram-links")
-        links, tried = (found, new) if links is None else (links.union(found), tried.union(new))
-
-    try_pairs(ordered(led))
+    links = cut(verified(ordered(led), docs, n_words, similar), "ngram-links")
     shared = cut(raw.join(one, ["h", "n"]).select("token", "n", "l", "class_id"), "ngram-postings")
-    for turn in range(MAX_STARS + 1):
-        comps = cut(components(links, "ngram"), "ngram-components")
-        known = shared.join(comps.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("c", F.coalesce("component", "class_id"))
-        open_tokens = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-        left = cut(known.join(open_tokens, "token").select("token", "n", "l", "class_id", "c"), "ngram-open")
-        per = left.groupBy("token", "c").agg(F.count("*").cast("double").alias("k")).groupBy("token").agg(((F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))) / 2).alias("pairs"))
-        rest, rows = per.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0], left.count()
-        if turn == MAX_STARS or rest <= 8 * rows + 5_000_000:
-            break
-        order = F.struct(F.xxhash64("class_id", F.lit(turn)).alias("o"), "class_id", "n", "c")
-        heads = left.groupBy("token").agg(F.min(order).alias("head"))
-        stars = left.join(heads, "token").where("c != head.c").where(sizes_fit(F.col("n"), F.col("head.n"), similar))
-        try_pairs(ordered(stars.select(F.col("class_id").alias("x"), F.col("head.class_id").alias("y"))))
-    if rest:
-        y = left.select("token", *(F.col(c).alias(f"{c}_y") for c in ("n", "l", "class_id", "c")))
-        both = left.join(y, "token").where("class_id < class_id_y and c != c_y").where(sizes_fit(F.col("n"), F.col("n_y"), similar))
-        both = both.groupBy("class_id", "class_id_y").agg(F.count("*").alias("matches"), F.min(F.least("l", "l_y")).alias("need")).where("matches >= need")
-        try_pairs(both.select(F.col("class_id").alias("a"), F.col("class_id_y").alias("b")))
-        comps = cut(components(links, "ngram"), "ngram-components")
+    comps = components(links, "ngram")
+    known = shared.join(comps.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("c", F.coalesce("component", "class_id"))
+    open_tokens = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.min("class_id").alias("first")).where("lo != hi")
+    left = cut(known.join(open_tokens.select("token", "k", "first"), "token").select("token", "n", "l", "class_id", "c", "k", "first"), "ngram-open")
+    crowds = left.where(F.col("k") > CROWD).select(F.col("class_id").alias("a"), F.col("first").alias("b")).distinct()
+    families = cut(components(crowds, "ngram-family").select(F.col("id").alias("class_id"), F.col("component").alias("family")), "ngram-family")
+    links = links.union(cut(family_links(families, docs, n_words, similar), "ngram-links"))
+    x = left.where(F.col("k") <= CROWD).join(families, "class_id", "left").select("token", "n", "l", "class_id", "c", "family")
+    y = x.select("token", *(F.col(c).alias(f"{c}_y") for c in ("n", "l", "class_id", "c", "family")))
+    both = x.join(y, "token").where("class_id < class_id_y and c != c_y and not coalesce(family = family_y, false)").where(sizes_fit(F.col("n"), F.col("n_y"), similar))
+    both = both.groupBy("class_id", "class_id_y").agg(F.count("*").alias("matches"), F.min(F.least("l", "l_y")).alias("need")).where("matches >= need")
+    pairs = both.select(F.col("class_id").alias("a"), F.col("class_id_y").alias("b"))
+    links = links.union(cut(verified(pairs, docs, n_words, similar), "ngram-links"))
+    comps = components(links, "ngram")
     rows = signs.join(classes, ["n", "h", "h2"], "left").join(comps.withColumnRenamed("id", "class_id"), "class_id", "left")
     class_id = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), class_id.alias("class_id"), F.coalesce("component", class_id).alias("component_id"))

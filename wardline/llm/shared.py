@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: One word: a run without space, tab, line feed, vertical tab, form feed or carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,3 +51,18 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def append(df: DataFrame, schema: str, columns: Callable[[pa.RecordBatch], list[pa.Array]], rows: int = 1000) -> DataFrame:
+    """`df` with columns that a function of an Arrow batch gives, `rows` rows at a time; a column of the same name is replaced."""
+    new = StructType.fromDDL(schema)
+    df = df.select(*(c for c in df.columns if c not in new.names))
+    names = [*df.columns, *new.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, rows):
+                batch = whole.slice(a, rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns(batch)], names=names)
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))

@@ -18,6 +18,9 @@ CHUNK = 1 << 21
 PIECE = 1 << 20
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
+#: For words without punctuation: all of ASCII but letters and digits.
+NO_WORD = np.ones(256, bool)
+NO_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE, SHINGLE_BASE = 0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4F
@@ -96,8 +99,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return out
 
 
-def words(chunk: Chunk, lower: bool) -> Words:
-    ink = ~WHITE[chunk.data]
+def words(chunk: Chunk, lower: bool, white: np.ndarray = WHITE) -> Words:
+    ink = ~white[chunk.data]
     n, edges = len(ink), chunk.offsets
     first, last = ink.copy(), ink.copy()
     if n:
@@ -112,6 +115,12 @@ def words(chunk: Chunk, lower: bool) -> Words:
     return Words(row, start, end, span_hashes(chunk.data, start, end, lower))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which beats numpy's hashing here."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def row_bounds(row: np.ndarray, rows: int) -> np.ndarray:
     """Where each row's words begin; one more entry than rows."""
     return np.searchsorted(row, np.arange(rows + 1))
@@ -135,7 +144,7 @@ def shingle_sets(chunk: Chunk, n: int) -> Iterator[np.ndarray]:
     bounds, grams = row_bounds(w.row, len(chunk.offsets) - 1), ngram_hashes(w.hash, n)
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= n:
-            yield np.unique(grams[a : b - n + 1])
+            yield distinct(grams[a : b - n + 1])
         elif b > a:
             yield ngram_hashes(w.hash[a:b], b - a) ^ np.uint64(b - a)
         else:
