@@ -9,7 +9,7 @@ to its one side, and is then verified by the cosine in double precision. Rotated
 widened by the rounding), so that squared block distances are exact and both sides agree on the first block.
 
 Scale: equal vectors are one class first. Home vectors of a cell are split into chunks of at most CELL (hot cells too); a task
-holds one chunk and streams its visitors past it, one batch at a time, so memory is bounded whatever a cluster's size. Counts of
+holds one chunk, in a tree of its own, and streams its visitors past it, one batch at a time, so memory is bounded whatever a cluster's size. Counts of
 links come out per vector, and for components one edge per visitor and chunk, never the pairs. Work on a cluster of mutual near
 copies is quadratic by definition of n_links, as batched matrix products.
 
@@ -33,7 +33,7 @@ from wardline.llm.shared import cut, partitions, table
 COSINE = 0.9
 BLOCK, CELL, SAMPLE = 8, 8192, 20_000
 UNIT = float(1 << 20)
-VISITORS = 1024
+VISITORS, LEAF = 1024, 512
 #: Given ids are below this number.
 NO_ID = 1 << 62
 Batches = Iterator[pa.RecordBatch]
@@ -136,29 +136,46 @@ class Chunk:
 
     def close_homes(self) -> None:
         if not self.ready:
-            self.ids, self.copies, self.v = (np.concatenate(c) for c in zip(*self.rows, strict=True)) if self.rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, self.turn.shape[0])))
-            self.unit = units(self.v) if len(self.v) else self.v
+            self.ids, self.copies, v = (np.concatenate(c) for c in zip(*self.rows, strict=True)) if self.rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, self.turn.shape[0])))
+            self.rows = []
+            self.unit = units(v) if len(v) else v
             self.q = rounded(self.unit, self.turn)
+            own = self.q[:, self.parts[self.key[0]]]
+            self.tree = grow(own, max(0, math.ceil(math.log2(max(1, len(own) / LEAF)))))
+            who, leaf, _ = cells(own, self.tree, 0.0)
+            self.leaves = {int(x): who[leaf == x] for x in np.unique(leaf)}
             self.links, self.label, self.ready = np.zeros(len(self.ids), np.int64), np.arange(len(self.ids)), True
 
     def within(self, b: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether block distances are within budget: one product of rows extended by their squared lengths, exact in integers."""
         x, y = left[:, self.parts[b]], right[:, self.parts[b]]
-        return (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None] - 2 * x @ y.T <= self.radius[b] ** 2
+        x = np.hstack([x, (x * x).sum(axis=1, keepdims=True), np.ones((len(x), 1))])
+        y = np.hstack([-2 * y, np.ones((len(y), 1)), (y * y).sum(axis=1, keepdims=True)])
+        return x @ y.T <= self.radius[b] ** 2
 
     def past(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> list[tuple[int, int]]:
-        """Lets visitors pass; gives an edge for each that links."""
+        """Lets visitors pass; gives an edge for each that links, leaf by leaf of the chunk's own tree."""
         self.close_homes()
-        if not len(self.ids):
-            return []
-        unit = units(vectors)
-        q, block = rounded(unit, self.turn), self.key[0]
-        alive = self.within(block, q, self.q) & (ids[:, None] != self.ids[None])
+        unit, edges, block = units(vectors), [], self.key[0]
+        q = rounded(unit, self.turn)
+        who, leaf, _ = cells(q[:, self.parts[block]], self.tree, self.radius[block])
+        for x, homes in self.leaves.items():
+            some = who[leaf == x]
+            if len(some):
+                edges += self._meet(block, ids[some], copies[some], unit[some], q[some], homes)
+        return edges
+
+    def _meet(self, block: int, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, q: np.ndarray, homes: np.ndarray) -> list[tuple[int, int]]:
+        alive = self.within(block, q, self.q[homes])
         r, c = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
-        alive = alive[np.ix_(r, c)]
+        alive, c = alive[np.ix_(r, c)], homes[c]
+        alive &= ids[r][:, None] != self.ids[c][None]
         for b in range(block):
             if not alive.any():
                 return []
             alive &= ~self.within(b, q[r], self.q[c])
+        if not alive.any():
+            return []
         cos = unit[r] @ self.unit[c].T
         for i, j in zip(*np.nonzero(alive & (np.abs(cos - self.cosine) < 1e-9)), strict=True):
             # so near the threshold both sides must add up in the same order
