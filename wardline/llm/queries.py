@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, curriculum, embedding_join, ngram_join, suffix_trees
+from wardline.llm import chat, curriculum, decontaminate, deobfuscate, embedding_join, language, lattice, ngram_join, quality, suffix_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": embedding_join.op1_embedding_neardup,
+    "op2_deobfuscate": deobfuscate.op2_deobfuscate,
+    "op3_lattice": lattice.op3_lattice,
     "op4_suffix_trees": suffix_trees.op4_suffix_trees,
     "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_curriculum_mix": curriculum.op6_curriculum_mix,
+    "op7_string_kernel": language.op7_string_kernel,
+    "op8_latent_leaks": decontaminate.op8_latent_leaks,
+    "op9_weak_quality": quality.op9_weak_quality,
     "op10_chat_parts": chat.op10_chat_parts,
 }
 
