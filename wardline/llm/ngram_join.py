@@ -13,7 +13,7 @@ Steps:
 3. Components of the verified links settle most shingles: where all classes of a shingle are in one component, no further pair
    can matter. Shingles that stay open and have more than CROWD classes tie these into families; all pairs of a family are compared
    in blocks of classes, as matrix products over their whole sets, and a block gives its spanning links only. Open shingles of
-   fewer classes give pairs between components, which are verified if they share enough prefix shingles. No pair that could
+   fewer classes give pairs between components, which are verified if they share enough prefix shingles for their sizes. No pair that could
    join components is skipped, and no crowd is ever written out as pairs.
 
 Nulls and edges: null or empty text, or text without words, is an empty set and links with nothing; fewer words than a shingle
@@ -170,6 +170,16 @@ def sizes_fit(a: Column, b: Column, similar: int) -> Column:
     return 100 * F.least(a, b) >= similar * F.greatest(a, b)
 
 
+def within_reach(matches: Column, n: tuple[Column, Column], l: tuple[Column, Column], similar: int) -> Column:  # noqa: E741
+    """Whether two sets with so many shared prefix shingles can still meet the threshold.
+
+    Of the two prefixes one ends first in the global order; its shingles that are not shared are not in the other set at all, so
+    the intersection is at most the matches and what lies behind that prefix.
+    """
+    behind = [F.ceil(x * similar / 100) - y for x, y in zip(n, l, strict=True)]
+    return (100 + similar) * (matches + F.greatest(*behind)) >= similar * (n[0] + n[1])
+
+
 def _keyed_groups(batches: Batches, keys: int) -> Iterator[tuple[bool, pa.RecordBatch]]:
     """Rows sorted by their first columns as slices of one key; whether the key is new."""
     last = None
@@ -306,7 +316,9 @@ def join(docs: DataFrame, n_words: int = SHINGLE, similar: int = SIMILAR) -> Dat
     dealt = postings.repartition(partitions(spark), "token", F.expr("pmod(h, shiftright(meta, 8) & 65535)"))
     raw = cut(dealt.mapInArrow(_shared, "token long, h long, n long, l long, lead_h long, lead_n long"), "ngram-shared")
     one = classes.select("n", "h", "class_id")
-    led = raw.where("h != lead_h or n != lead_n").where(sizes_fit(F.col("n"), F.col("lead_n"), similar)).select("h", "n", "lead_h", "lead_n").distinct()
+    led = raw.where("h != lead_h or n != lead_n").where(sizes_fit(F.col("n"), F.col("lead_n"), similar)).groupBy("h", "n", "lead_h", "lead_n").agg(F.count("*").alias("matches"))
+    # a leader's matches may be spread over runs with other leaders: what is left out here comes back below
+    led = led.where(within_reach(F.col("matches"), (F.col("n"), F.col("lead_n")), (F.lit(1), F.lit(1)), similar)).drop("matches")
     led = led.join(one, ["h", "n"]).withColumnRenamed("class_id", "x").drop("h", "n")
     led = led.join(one.select(F.col("h").alias("lead_h"), F.col("n").alias("lead_n"), F.col("class_id").alias("y")), ["lead_h", "lead_n"])
     ordered = lambda df: df.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -322,7 +334,8 @@ def join(docs: DataFrame, n_words: int = SHINGLE, similar: int = SIMILAR) -> Dat
     x = left.where(F.col("k") <= CROWD).join(families, "class_id", "left").select("token", "n", "l", "class_id", "c", "family")
     y = x.select("token", *(F.col(c).alias(f"{c}_y") for c in ("n", "l", "class_id", "c", "family")))
     both = x.join(y, "token").where("class_id < class_id_y and c != c_y and not coalesce(family = family_y, false)").where(sizes_fit(F.col("n"), F.col("n_y"), similar))
-    both = both.groupBy("class_id", "class_id_y").agg(F.count("*").alias("matches"), F.min(F.least("l", "l_y")).alias("need")).where("matches >= need")
+    both = both.groupBy("class_id", "class_id_y", "n", "n_y", "l", "l_y").agg(F.count("*").alias("matches")).where("matches >= least(l, l_y)")
+    both = both.where(within_reach(F.col("matches"), (F.col("n"), F.col("n_y")), (F.col("l"), F.col("l_y")), similar))
     pairs = both.select(F.col("class_id").alias("a"), F.col("class_id_y").alias("b"))
     links = links.union(cut(verified(pairs, docs, n_words, similar), "ngram-links"))
     comps = components(links, "ngram")
