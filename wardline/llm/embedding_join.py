@@ -31,9 +31,9 @@ from wardline.llm.components import components
 from wardline.llm.shared import cut, partitions, table
 
 COSINE = 0.9
-BLOCK, CELL, SAMPLE = 8, 8192, 20_000
+BLOCK, CELL, SAMPLE = 8, 32_768, 20_000
 UNIT = float(1 << 20)
-VISITORS, LEAF = 1024, 512
+VISITORS, LEAF, PAIRS = 1024, 512, 50_000
 #: Given ids are below this number.
 NO_ID = 1 << 62
 Batches = Iterator[pa.RecordBatch]
@@ -134,66 +134,77 @@ class Chunk:
         self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.ready = False
 
-    def close_homes(self) -> None:
-        if not self.ready:
-            self.ids, self.copies, v = (np.concatenate(c) for c in zip(*self.rows, strict=True)) if self.rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, self.turn.shape[0])))
-            self.rows = []
-            self.unit = units(v) if len(v) else v
-            self.q = rounded(self.unit, self.turn)
-            own = self.q[:, self.parts[self.key[0]]]
-            self.tree = grow(own, max(0, math.ceil(math.log2(max(1, len(own) / LEAF)))))
-            who, leaf, _ = cells(own, self.tree, 0.0)
-            self.leaves = {int(x): who[leaf == x] for x in np.unique(leaf)}
-            self.links, self.label, self.ready = np.zeros(len(self.ids), np.int64), np.arange(len(self.ids)), True
-
-    def within(self, b: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Whether block distances are within budget: one product of rows extended by their squared lengths, exact in integers."""
-        x, y = left[:, self.parts[b]], right[:, self.parts[b]]
-        x = np.hstack([x, (x * x).sum(axis=1, keepdims=True), np.ones((len(x), 1))])
-        y = np.hstack([-2 * y, np.ones((len(y), 1)), (y * y).sum(axis=1, keepdims=True)])
-        return x @ y.T <= self.radius[b] ** 2
+    def close_homes(self) -> list[tuple[int, int]]:
+        """Once all homes are in: the chunk's own tree, and the homes' links among themselves."""
+        if self.ready:
+            return []
+        self.ids, self.copies, v = (np.concatenate(c) for c in zip(*self.rows, strict=True)) if self.rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, self.turn.shape[0])))
+        self.rows, self.ready = [], True
+        self.unit = units(v) if len(v) else v.astype(float)
+        self.q = rounded(self.unit, self.turn)
+        own = self.q[:, self.parts[self.key[0]]]
+        self.tree = grow(own, max(0, math.ceil(math.log2(max(1, len(own) / LEAF)))))
+        who, leaf, _ = cells(own, self.tree, 0.0)
+        self.leaves = {int(x): who[leaf == x] for x in np.unique(leaf)}
+        self.rough = {x: self._extended(self.q[w], -2.0, flip=True) for x, w in self.leaves.items()}
+        self.links, self.label = np.zeros(len(self.ids), np.int64), np.arange(len(self.ids))
+        edges = []
+        for k in range(0, len(self.ids), VISITORS):
+            here = slice(k, k + VISITORS)
+            edges += self._pass(self.ids[here], self.copies[here], self.unit[here], self.q[here])
+        return edges
+
+    def _extended(self, q: np.ndarray, factor: float, flip: bool) -> np.ndarray:
+        """Rows whose products are squared block distances, in single precision: for a first, wider test."""
+        x = (q[:, self.parts[self.key[0]]] / UNIT).astype(np.float32)
+        square, one = (x * x).sum(axis=1, keepdims=True), np.ones((len(x), 1), np.float32)
+        return np.hstack([x * np.float32(factor), one, square] if flip else [x, square, one])
 
     def past(self, ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> list[tuple[int, int]]:
-        """Lets visitors pass; gives an edge for each that links, leaf by leaf of the chunk's own tree."""
-        self.close_homes()
-        unit, edges, block = units(vectors), [], self.key[0]
-        q = rounded(unit, self.turn)
+        """Lets visitors pass; gives an edge for each that links."""
+        unit = units(vectors)
+        return self.close_homes() + self._pass(ids, copies, unit, rounded(unit, self.turn))
+
+    def _pass(self, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
+        block, edges = self.key[0], []
+        wide = np.float32((self.radius[block] / UNIT) ** 2 * 1.001)
+        rough = self._extended(q, 1.0, flip=False)
         who, leaf, _ = cells(q[:, self.parts[block]], self.tree, self.radius[block])
         for x, homes in self.leaves.items():
             some = who[leaf == x]
             if len(some):
-                edges += self._meet(block, ids[some], copies[some], unit[some], q[some], homes)
+                i, j = np.nonzero(rough[some] @ self.rough[x].T <= wide)
+                for a in range(0, len(i), PAIRS):
+                    edges += self._meet(some[i[a : a + PAIRS]], homes[j[a : a + PAIRS]], ids, copies, unit, q)
         return edges
 
-    def _meet(self, block: int, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, q: np.ndarray, homes: np.ndarray) -> list[tuple[int, int]]:
-        alive = self.within(block, q, self.q[homes])
-        r, c = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
-        alive, c = alive[np.ix_(r, c)], homes[c]
-        alive &= ids[r][:, None] != self.ids[c][None]
-        for b in range(block):
-            if not alive.any():
-                return []
-            alive &= ~self.within(b, q[r], self.q[c])
-        if not alive.any():
+    def _meet(self, i: np.ndarray, j: np.ndarray, ids: np.ndarray, copies: np.ndarray, unit: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs of visitor and home: exact block distances, earlier blocks, cosine. Sums have one order, so both sides agree."""
+        block = self.key[0]
+        keep = ids[i] != self.ids[j]
+        for b in [block, *range(block)]:
+            i, j = i[keep], j[keep]
+            gap = q[i, self.parts[b]] - self.q[j, self.parts[b]]
+            keep = ((gap * gap).sum(axis=1) <= self.radius[b] ** 2) == (b == block)
+        i, j = i[keep], j[keep]
+        keep = np.einsum("ij,ij->i", unit[i], self.unit[j]) >= self.cosine
+        i, j = i[keep], j[keep]
+        if not len(i):
             return []
-        cos = unit[r] @ self.unit[c].T
-        for i, j in zip(*np.nonzero(alive & (np.abs(cos - self.cosine) < 1e-9)), strict=True):
-            # so near the threshold both sides must add up in the same order
-            cos[i, j] = math.fsum(unit[r[i]] * self.unit[c[j]])
-        alive &= cos >= self.cosine
-        self.links[c] += (alive * copies[r][:, None]).sum(axis=0)
-        edges = []
-        for i in np.flatnonzero(alive.any(axis=1)):
-            labels = np.unique(self.label[c[alive[i]]])
+        self.links += np.bincount(j, copies[i], minlength=len(self.ids)).astype(np.int64)
+        edges, order = [], np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        for a, b in zip(*(lambda s: (s, [*s[1:], len(i)]))(np.flatnonzero(np.append(True, i[1:] != i[:-1])).tolist()), strict=True):
+            labels = np.unique(self.label[j[a:b]])
             if len(labels) > 1:
                 self.label[np.isin(self.label, labels)] = labels[0]
-            edges.append((int(ids[r[i]]), int(self.ids[labels[0]])))
+            edges.append((int(ids[i[a]]), int(self.ids[labels[0]])))
         return edges
 
     def result(self) -> list[tuple[int, int, int]]:
-        self.close_homes()
+        rest = [(1, a, b) for a, b in self.close_homes()]
         counts = [(0, int(i), int(n)) for i, n in zip(self.ids, self.links, strict=True) if n]
-        return counts + [(1, int(i), int(self.ids[k])) for i, k in zip(self.ids, self.label, strict=True) if self.ids[k] != i]
+        return rest + counts + [(1, int(i), int(self.ids[k])) for i, k in zip(self.ids, self.label, strict=True) if self.ids[k] != i]
 
 
 def _probe(dims: int, cosine: float) -> Callable[[Batches], Batches]:
@@ -243,9 +254,8 @@ def _links(vectors: DataFrame, dims: int, rows: int, cosine: float) -> DataFrame
     dealt = cut(dealt, "embedding-cells")
     split = dealt.where("home").groupBy("block", "cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("n"))
     own = F.pmod(F.xxhash64("id"), F.col("n")).cast("int")
-    # a home vector also visits its own cell's chunks
-    visits = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(False).alias("home")))
-    place = F.when(F.col("home"), F.concat(F.array(F.struct(own.alias("chunk"), F.lit(True).alias("home"))), visits)).otherwise(visits)
+    # a home vector also visits the other chunks of its cell
+    place = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda c: F.struct(c.alias("chunk"), (F.col("home") & (c == own)).alias("home")))
     each = dealt.join(split, ["block", "cell"]).select("block", "cell", "id", "copies", "v", F.explode(place).alias("p")).select("block", "cell", F.col("p.chunk").alias("chunk"), F.col("p.home").alias("home"), "id", "copies", "v")
     each = each.repartition(partitions(spark), "block", "cell", "chunk").sortWithinPartitions("block", "cell", "chunk", F.col("home").desc())
     return each.mapInArrow(_probe(dims, cosine), "kind long, a long, b long")
