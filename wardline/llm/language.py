@@ -36,11 +36,26 @@ ROWS = 256
 Batches = Iterator[pa.RecordBatch]
 
 
+class Space(NamedTuple):
+    """The landmarks' n-gram codes per order, sorted, and per order which landmark holds which: small enough to send to all tasks."""
+
+    grams: list[np.ndarray]
+    held: list[np.ndarray]
+
+    def opened(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Feature number by n-gram code per order (0: none), and landmarks as columns."""
+        tables = []
+        for n, grams in zip(ORDERS, self.grams, strict=True):
+            table = np.zeros(256**n, np.uint16 if len(grams) < 65_535 else np.int32)
+            table[grams] = np.arange(1, len(grams) + 1)
+            tables.append(table)
+        return tables, [h.astype(np.float32) for h in self.held]
+
+
 class Model(NamedTuple):
-    """Feature number by n-gram code per order (0: none), landmarks as columns, weights per language."""
+    """Landmarks, weights per language."""
 
-    tables: list[np.ndarray]
-    landmarks: list[np.ndarray]
+    space: Space
     weights: np.ndarray
     languages: list[str]
 
@@ -89,25 +104,24 @@ def _parts(column: pa.Array) -> Iterator[textops.Chunk]:
             yield chunk._replace(first=chunk.first + a)
 
 
-def spectrum(texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Tables and landmark columns of some texts."""
+def spectrum(texts: list[str]) -> Space:
+    """The space of some landmark texts."""
     (chunk,) = textops.chunks(pa.array(texts, pa.string()), 1 << 40)
-    tables = []
+    grams = []
     for n in ORDERS:
         parts = [codes(FOLD[chunk.data[a:b]], n) for a, b in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True)]
-        grams = np.unique(np.concatenate(parts))
-        table = np.zeros(256**n, np.uint16 if len(grams) < 65_535 else np.int32)
-        table[grams] = np.arange(1, len(grams) + 1)
-        tables.append(table)
-    return tables, [p.T.copy() for p in presence(chunk, tables)]
+        grams.append(textops.distinct(np.concatenate(parts)))
+    tables, _ = Space(grams, []).opened()
+    return Space(grams, [p.T.astype(bool) for p in presence(chunk, tables)])
 
 
-def _moments(tables: list[np.ndarray], landmarks: list[np.ndarray], languages: list[str]) -> Callable[[Batches], Batches]:
+def _moments(space_of: Callable[[], Space], languages: list[str]) -> Callable[[Batches], Batches]:
     """Sums of k k' and k y' over (text, lang)."""
     number = {x: i for i, x in enumerate(languages)}
 
     def run(batches: Batches) -> Batches:
         total = 0.0
+        tables, landmarks = space_of().opened()
         for batch in batches:
             kinds = batch.column(1).to_pylist()
             for chunk in _parts(batch.column(0)):
@@ -141,28 +155,30 @@ def fit(train: DataFrame) -> Model | None:
     marks = slim.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LANDMARKS).select("doc_id", "lang")
     rows = train.join(F.broadcast(marks), ["doc_id", "lang"]).select("doc_id", "lang", "text").dropDuplicates(["doc_id", "lang"]).orderBy("lang", "doc_id").collect()
     languages = sorted({r["lang"] for r in rows})
-    tables, landmarks = spectrum([r["text"] for r in rows])
-    sent = spark.sparkContext.broadcast((tables, landmarks))
+    space = spectrum([r["text"] for r in rows])
+    sent = spark.sparkContext.broadcast(space)
     sample = train.where(chosen).select("text", "lang").where(F.col("lang").isin(languages)).repartition(FIT_PARTITIONS)
-    parts = sample.mapInArrow(lambda batches: _moments(*sent.value, languages)(batches), "m binary").collect()
+    parts = sample.mapInArrow(_moments(lambda: sent.value, languages), "m binary").collect()
+    tables, landmarks = space.opened()
     moments = sum(np.frombuffer(p["m"]).reshape(len(rows), -1) for p in parts)
     gram, target = moments[:, : len(rows)], moments[:, len(rows) :]
     (chunk,) = textops.chunks(pa.array([r["text"] for r in rows], pa.string()), 1 << 40)
     among = kernel(chunk, tables, landmarks).astype(float)
     n = max(1.0, float(np.trace(gram)))
     weights = np.linalg.lstsq(gram / n + RIDGE * (among + among.T) / 2 / len(rows), target / n, rcond=None)[0]
-    return Model(tables, landmarks, weights.astype(np.float32), languages)
+    return Model(space, weights.astype(np.float32), languages)
 
 
 def _predict(model_of: Callable[[], Model]) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         m = model_of()
+        tables, landmarks = m.space.opened()
         for batch in batches:
             texts = batch.column(2)
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             best, top = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             for chunk in _parts(texts):
-                score = kernel(chunk, m.tables, m.landmarks) @ m.weights
+                score = kernel(chunk, tables, landmarks) @ m.weights
                 here = slice(chunk.first, chunk.first + len(score))
                 best[here], top[here] = score.argmax(axis=1), np.clip((score.max(axis=1) + 1) / 2, 0, 1)
             names = np.array(m.languages, object)[best]
