@@ -170,3 +170,19 @@ def test_words() -> None:
         got += [(chunk.first + int(r), bytes(chunk.data[a:b]).decode()) for r, a, b in zip(w.row, w.start, w.end, strict=True)]
         assert len(set(zip((textops.LOWER[chunk.data].tobytes()[a:b] for a, b in zip(w.start, w.end, strict=True)), w.hash.tolist(), strict=True))) == len(set(w.hash.tolist()))
     assert got == [(k, x) for k, t in enumerate(texts) for x in ASCII_WORD.findall(t or "")]
+
+
+def test_within_reach_keeps_all_similar_pairs(spark: SparkSession) -> None:
+    """The bound on prefix matches never leaves out a similar pair, whatever the order."""
+    rng, rows = np.random.default_rng(11), []
+    for _ in range(400):
+        counts = rng.integers(0, 30, 64).astype(np.int64)
+        a = np.unique(rng.integers(0, 1 << 62, int(rng.integers(1, 80))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.93], rng.integers(0, 1 << 62, int(rng.integers(0, 4))).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= 80 * (len(a) + len(b) - both):
+            (p, _, l), (q, _, m) = (ngram_join.prefix(s, counts, 3.0, 80) for s in (a, b))
+            rows.append((len(a), len(b), l, m, len(np.intersect1d(p, q))))
+    df = spark.createDataFrame(rows, "n long, n_y long, l long, l_y long, matches long")
+    c = df.columns
+    assert rows and df.where(~ngram_join.within_reach(df[c[4]], (df.n, df.n_y), (df.l, df.l_y), 80)).count() == 0

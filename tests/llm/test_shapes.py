@@ -124,7 +124,7 @@ def test_pipeline_stages(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
         if name != "mix":
             assert after.columns == columns
         if name == "quality":
-            kept = {r["doc_id"] for r in quality.scored(docs).where("kept").collect()}
+            kept = {r["doc_id"] for r in quality.scored(docs, spark.read.parquet(f"{DATA}/labels.parquet")).where("kept").collect()}
             labels = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
             assert {r["doc_id"] for r in rows} == kept
             bad = [i for i in kept if i in labels and labels[i]["toxic"]]
@@ -153,7 +153,7 @@ def test_pipeline_stages(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
 
 
 def test_pipeline_awkward(spark: SparkSession, awkward: list[tuple], tmp_path) -> None:  # noqa: ANN001
-    for t in ("benchmark",):
+    for t in ("benchmark", "labels"):
         shutil.copy(f"{DATA}/{t}.parquet", tmp_path / f"{t}.parquet")
     docs = make_docs(spark, awkward)
     for k, rows in enumerate((docs, docs.limit(0))):

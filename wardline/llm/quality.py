@@ -1,11 +1,11 @@
 """Quality classifier from weak labels: overlapping heuristic labellers, their accuracies by expectation-maximisation, and a
 hashed linear scorer that learns the posterior labels.
 
-Two faults are modelled, each with labellers of its own: bad form (symbols, repetition, shouting,
-tables, no running text) and toxic language. A vote says bad or good; texts too short for a labeller make it abstain, which
-is no evidence. The votes of all documents are counted by vote pattern with map-side combination;
-their number is bounded by three to the number of labellers, and EM over the pattern counts gives every pattern's posterior. A
-logistic scorer per fault, over hashed words and hashed statistics, then learns the posteriors on a bounded sample of documents
+Two faults are modelled, each with labellers of its own: bad form (symbols, repetition, shouting, tables, no words) and toxic
+language. Two toxic labellers read a dictionary of word beginnings that toxic ones among some LABELLED_ROWS labelled documents
+prefer, where labels are given; all others need no labels. A vote says bad or good; on texts too short for it a labeller abstains,
+which is no evidence. The votes of all documents are counted by vote pattern with map-side combination; the patterns' number is
+bounded by three to the number of labellers, and EM over their counts, one class for each kind of fault, gives every pattern's posterior. A logistic scorer per fault, over hashed words and hashed statistics, then learns the posteriors on a bounded sample of documents
 (FIT_ROWS, chosen by a hash of the id) and scores every whole text. A document is kept if neither fault is more likely than not.
 
 Passes over the texts are row by row without a shuffle.
@@ -25,9 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.llm import textops
-from wardline.llm.shared import append, documents
+from wardline.llm.shared import append, documents, table
 
 FIT_ROWS = 10_000
+#: Labelled documents that the mined dictionary is taken from; how often and how much more often toxic ones hold an entry.
+LABELLED_ROWS, MINED_DOCUMENTS, MINED_LIFT, MINED_ENTRIES = 8_000, 8, 10.0, 5_000
+#: Bytes of a word's beginning in the mined dictionary.
+BEGINNINGS = (6, 7, 8)
 FEATURES = 1 << 16
 BINS = 12
 ABSTAIN, BAD, GOOD = 0, 1, 2
@@ -70,7 +74,13 @@ class Texts(NamedTuple):
     words: textops.Words
 
 
-def measure(chunk: textops.Chunk) -> Texts:
+def beginnings(chunk: textops.Chunk, w: textops.Words) -> list[np.ndarray]:
+    """Hashes of the words' first bytes, one array per number of bytes; shorter words count whole."""
+    return [textops.span_hashes(chunk.data, w.start, np.minimum(w.end, w.start + n), lower=True) for n in BEGINNINGS]
+
+
+def measure(chunk: textops.Chunk, mined: np.ndarray) -> Texts:
+    """`mined` holds the hashes of word beginnings that toxic documents prefer, sorted."""
     rows = len(chunk.offsets) - 1
     spaced, plain = textops.words(chunk, lower=True), textops.words(chunk, lower=True, white=textops.NO_WORD)
     per = lambda row, weight=None: np.bincount(row, weight, minlength=rows).astype(float)
@@ -86,6 +96,10 @@ def measure(chunk: textops.Chunk) -> Texts:
     most = np.zeros(rows)
     np.maximum.at(most, row[new], times)
     insult = np.isin(h[new], INSULT_HASHES)
+    hit = np.zeros(len(plain.row), bool)
+    for b in beginnings(chunk, plain) if len(mined) else ():
+        at = np.minimum(np.searchsorted(mined, b), len(mined) - 1)
+        hit |= mined[at] == b
     ratio = lambda a, b: a / np.maximum(1.0, b)
     stats = {
         "words": n, "spaced": n_spaced, "symbols": ratio(symbol, upper + lower + symbol + shout + point), "shouting": ratio(upper, upper + lower), "shouts": ratio(shout, n_spaced),
@@ -93,6 +107,7 @@ def measure(chunk: textops.Chunk) -> Texts:
         "top": ratio(most, n), "stop": ratio(per(plain.row, np.isin(plain.hash, STOP_HASHES).astype(float)), n), "length": ratio(upper + lower, n),
         "insults": per(row[new], insult.astype(float)), "insult_share": ratio(per(plain.row, np.isin(plain.hash, INSULT_HASHES).astype(float)), n),
         "strong": per(row[new], np.isin(h[new], STRONG_HASHES).astype(float)),
+        "mined": per(row[new], hit[pairs][new].astype(float)), "mined_share": ratio(per(plain.row, hit.astype(float)), n), "has_mined": np.full(rows, float(len(mined) > 0)),
     }
     return Texts(stats, plain)
 
@@ -103,19 +118,22 @@ def _vote(bad: np.ndarray, able: np.ndarray) -> np.ndarray:
 
 def votes(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Labellers' votes, [labeller, row] per fault; every kind of fault shows in two labellers or more."""
-    any_, some, many = s["words"] >= 1, s["words"] >= 5, s["words"] >= 20
+    any_, some, many = s["words"] >= 1, s["words"] >= 12, s["words"] >= 20
     form = [
         _vote(s["symbols"] > 0.06, some), _vote(s["marks"] > 0.4, some), _vote(s["wordless"] > 0.08, some),
         _vote(s["echo"] > 0.08, some), _vote(s["top"] > 0.2, many), _vote(s["distinct"] < 1.5, many),
-        _vote(s["shouting"] > 0.3, some), _vote(s["shouts"] > 0.1, some), _vote((s["length"] > 25) | (s["length"] < 2), some),
+        _vote(s["shouting"] > 0.3, some), _vote(s["shouts"] > 0.1, some),
     ]
     toxic = [
         _vote(s["insults"] >= 2, any_), _vote(s["insult_share"] > 0.004, any_), _vote(s["strong"] >= 1, any_),
+        _vote(s["mined"] >= 2, any_ & (s["has_mined"] > 0)), _vote(s["mined_share"] > 0.01, any_ & (s["has_mined"] > 0)),
     ]
     return {FORM: np.array(form), TOXIC: np.array(toxic)}
 
 
-LABELLERS = {FORM: 9, TOXIC: 3}
+#: Per fault its kinds, as the numbers of their labellers: symbols and tables, repetition, shouting; abuse.
+KINDS = {FORM: [[0, 1, 2], [3, 4, 5], [6, 7]], TOXIC: [[0, 1, 2, 3, 4]]}
+LABELLERS = {fault: sum(map(len, kinds)) for fault, kinds in KINDS.items()}
 
 
 def pattern(v: np.ndarray) -> np.ndarray:
@@ -127,30 +145,35 @@ def unpacked(patterns: np.ndarray, labellers: int) -> np.ndarray:
     return patterns[:, None] // 3 ** np.arange(labellers) % 3
 
 
-def posteriors(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds: int = 100) -> np.ndarray:
-    """P(bad) per vote pattern, by EM over each labeller's vote probabilities in good and bad documents."""
+def posteriors(patterns: np.ndarray, counts: np.ndarray, kinds: list[list[int]], rounds: int = 100) -> np.ndarray:
+    """P(bad) per vote pattern, by EM over each labeller's rate of bad votes among good documents and those of each kind of fault.
+
+    Faults of different kinds are seen by different labellers, so each kind is a class of its own, which starts from its labellers.
+    An abstention says nothing.
+    """
+    labellers = sum(map(len, kinds))
     v = unpacked(patterns, labellers)
-    share = np.array([0.85, 0.15])
-    # a fault of one kind is seen by some labellers only; an abstention says nothing
-    prob = np.tile(np.array([[1.0, 0.02, 0.98], [1.0, 0.4, 0.6]])[:, None], (1, labellers, 1))
-    bad = np.zeros(len(v))
+    said, bad_vote = v != ABSTAIN, v == BAD
+    share = np.array([0.85, *[0.15 / len(kinds)] * len(kinds)])
+    rate = np.full((1 + len(kinds), labellers), 0.05)
+    rate[0] = 0.02
+    for k, own in enumerate(kinds, 1):
+        rate[k, own] = 0.6
     for _ in range(rounds):
-        like = np.log(share)[:, None] + sum(np.log(prob[:, j, v[:, j]]) for j in range(labellers))
-        bad = 1 / (1 + np.exp(np.clip(like[0] - like[1], -50, 50)))
-        weight = np.stack([(1 - bad) * counts, bad * counts])
-        share = (weight.sum(axis=1) + 1) / (counts.sum() + 2)
-        for j in range(labellers):
-            said = weight[:, v[:, j] != ABSTAIN].sum(axis=1) + 1
-            prob[:, j, BAD] = (weight[:, v[:, j] == BAD].sum(axis=1) + 0.5) / said
-        # a vote for bad never speaks for good
-        odd = prob[1, :, BAD] < prob[0, :, BAD]
-        prob[:, odd, BAD] = prob[:, odd, BAD].mean(axis=0)
-        prob[:, :, GOOD] = 1 - prob[:, :, BAD]
-    return bad
+        like = np.log(share) + bad_vote @ np.log(rate).T + (said & ~bad_vote) @ np.log(1 - rate).T
+        like -= like.max(axis=1, keepdims=True)
+        belief = np.exp(like) / np.exp(like).sum(axis=1, keepdims=True)
+        weight = belief * counts[:, None]
+        share = (weight.sum(axis=0) + 1) / (counts.sum() + 1 + len(kinds))
+        rate = (weight.T @ bad_vote + 0.5) / (weight.T @ said + 1)
+        # in documents of a kind its own labellers speak up more often than in good ones
+        for k, own in enumerate(kinds, 1):
+            rate[k, own] = np.maximum(rate[k, own], rate[0, own])
+    return 1 - belief[:, 0]
 
 
-FORM_STATS = ("symbols", "wordless", "echo", "top", "distinct", "shouting", "shouts", "points", "stop", "length")
-_SCALES = {"symbols": 0.2, "wordless": 0.3, "echo": 0.3, "top": 0.5, "distinct": 5.0, "shouting": 0.8, "shouts": 0.4, "points": 0.5, "stop": 0.5, "length": 20.0}
+FORM_STATS = ("symbols", "wordless", "echo", "top", "distinct", "shouting", "shouts", "points", "stop", "length", "insult_share", "mined_share")
+_SCALES = {"insult_share": 0.05, "mined_share": 0.1, "symbols": 0.2, "wordless": 0.3, "echo": 0.3, "top": 0.5, "distinct": 5.0, "shouting": 0.8, "shouts": 0.4, "points": 0.5, "stop": 0.5, "length": 20.0}
 
 
 def features(t: Texts, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +188,7 @@ def features(t: Texts, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*r, key >> 16]), np.concatenate([*f, key & 0xFFFF])
 
 
-def train(row: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds: int = 60, ridge: float = 2e-6) -> np.ndarray:
+def train(row: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds: int = 100, ridge: float = 2e-6) -> np.ndarray:
     """Logistic weights for soft targets; Adam over the whole sample. Rare words hold little weight by the ridge."""
     w, m, s = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES)
     for k in range(1, rounds + 1):
@@ -177,47 +200,85 @@ def train(row: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds: int
     return w
 
 
-def _count_patterns(batches: Batches) -> Batches:
-    for batch in batches:
-        for chunk in textops.chunks(batch.column(0)):
-            for fault, v in votes(measure(chunk).stats).items():
-                p, n = np.unique(pattern(v), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([fault] * len(p)), pa.array(p.astype(np.int64)), pa.array(n.astype(np.int64))], names=["fault", "pattern", "n"])
+def _count_patterns(mined: np.ndarray) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for chunk in textops.chunks(batch.column(0)):
+                for fault, v in votes(measure(chunk, mined).stats).items():
+                    p, n = np.unique(pattern(v), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([fault] * len(p)), pa.array(p.astype(np.int64)), pa.array(n.astype(np.int64))], names=["fault", "pattern", "n"])
 
+    return run
 
-def _sample_features(batches: Batches) -> Batches:
+
+def _sample_features(mined: np.ndarray) -> Callable[[Batches], Batches]:
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for chunk in textops.chunks(batch.column(0)):
+                rows, t = len(chunk.offsets) - 1, measure(chunk, mined)
+                v = votes(t.stats)
+                row, feature = features(t, rows)
+                order = np.argsort(row, kind="stable")
+                edge = np.searchsorted(row[order], np.arange(rows + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(feature[order].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.array(pattern(v[FORM])), pa.array(pattern(v[TOXIC])), lists], names=[FORM, TOXIC, "features"])
+
+    return run
+
+
+def _beginning_counts(batches: Batches) -> Batches:
+    """Documents per beginning over (text, toxic), added up by chunk."""
     for batch in batches:
+        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         for chunk in textops.chunks(batch.column(0)):
-            rows, t = len(chunk.offsets) - 1, measure(chunk)
-            v = votes(t.stats)
-            row, feature = features(t, rows)
-            order = np.argsort(row, kind="stable")
-            edge = np.searchsorted(row[order], np.arange(rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(feature[order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(pattern(v[FORM])), pa.array(pattern(v[TOXIC])), lists], names=[FORM, TOXIC, "features"])
+            w = textops.words(chunk, lower=True, white=textops.NO_WORD)
+            for b in beginnings(chunk, w):
+                order = np.lexsort((b, w.row))
+                row, h = w.row[order], b[order]
+                new = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])) if len(row) else np.zeros(0, bool)
+                kinds, which, n = np.unique(h[new], return_inverse=True, return_counts=True)
+                bad = np.bincount(which, toxic[chunk.first + row[new]], minlength=len(kinds)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(bad), pa.array(n.astype(np.int64))], names=["beginning", "bad", "n"])
+
+
+def mine(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> np.ndarray:
+    """The dictionary labeller: beginnings of words that toxic ones of about `rows` labelled documents hold far more often."""
+    known = labels.where("doc_id is not null and toxic is not null").select("doc_id", (F.col("toxic") == 1).alias("bad")).dropDuplicates(["doc_id"])
+    total = known.count()
+    chosen = known.where(F.expr(f"pmod(xxhash64(doc_id, 5), 1000003) < {min(1.0, rows / max(1, total)) * 1_000_003}"))
+    bad, n = chosen.agg(F.count_if("bad"), F.count("*")).first()
+    if not 0 < bad < n:
+        return np.zeros(0, np.uint64)
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("text", "bad")
+    counted = texts.mapInArrow(_beginning_counts, "beginning long, bad long, n long").groupBy("beginning").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    lift = (F.col("bad") / bad) / ((F.col("n") - F.col("bad") + 1) / (n - bad))
+    found = counted.where(F.col("bad") >= MINED_DOCUMENTS).where(lift >= MINED_LIFT).orderBy(F.desc("bad"), "beginning").limit(MINED_ENTRIES).collect()
+    return np.sort(np.array([r["beginning"] for r in found], np.int64).view(np.uint64))
 
 
 class Model(NamedTuple):
-    """Posterior P(bad) per vote pattern and linear weights, per fault."""
+    """Posterior P(bad) per vote pattern and linear weights, per fault; the mined dictionary."""
 
     posterior: dict[str, np.ndarray]
     weights: dict[str, np.ndarray]
+    mined: np.ndarray
 
 
-def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """From all documents' votes, and from the features of about `rows` documents."""
+def fit(docs: DataFrame, labels: DataFrame | None = None, rows: int = FIT_ROWS) -> Model:
+    """From all documents' votes, and from the features of about `rows` documents; `labels` (doc_id, toxic) feed one labeller."""
     texts = docs.select("doc_id", "text")
-    counted = texts.select("text").mapInArrow(_count_patterns, "fault string, pattern long, n long").groupBy("fault", "pattern").agg(F.sum("n").alias("n")).orderBy("fault", "pattern").collect()
+    mined = mine(texts, labels) if labels is not None else np.zeros(0, np.uint64)
+    counted = texts.select("text").mapInArrow(_count_patterns(mined), "fault string, pattern long, n long").groupBy("fault", "pattern").agg(F.sum("n").alias("n")).orderBy("fault", "pattern").collect()
     posterior = {fault: np.full(3**n, 0.0) for fault, n in LABELLERS.items()}
     for fault, n in LABELLERS.items():
         seen = [(r["pattern"], r["n"]) for r in counted if r["fault"] == fault]
         if seen:
             p, c = (np.array(x) for x in zip(*seen, strict=True))
-            posterior[fault][p] = posteriors(p, c.astype(float), n)
+            posterior[fault][p] = posteriors(p, c.astype(float), KINDS[fault])
     total = sum(r["n"] for r in counted if r["fault"] == FORM)
     share = min(1.0, rows / max(1, total))
     chosen = texts.where(F.expr(f"pmod(xxhash64(doc_id, 9), 1000003) < {share * 1_000_003}")).select("text")
-    sample = chosen.mapInArrow(_sample_features, f"{FORM} long, {TOXIC} long, features array<int>").toArrow()
+    sample = chosen.mapInArrow(_sample_features(mined), f"{FORM} long, {TOXIC} long, features array<int>").toArrow()
     weights = {fault: np.zeros(FEATURES) for fault in LABELLERS}
     if sample.num_rows:
         lists = sample.column("features").combine_chunks()
@@ -225,7 +286,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
         row = np.repeat(np.arange(sample.num_rows), size)
         for fault in LABELLERS:
             weights[fault] = train(row, feature, posterior[fault][sample.column(fault).to_numpy()])
-    return Model(posterior, weights)
+    return Model(posterior, weights, mined)
 
 
 SCORES = "quality_score double, toxic_score double, weak_quality double, weak_toxic double, kept boolean"
@@ -237,7 +298,7 @@ def classify(docs: DataFrame, model_of: Callable[[], Model]) -> DataFrame:
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
         model, parts = model_of(), []
         for chunk in textops.chunks(batch.column(batch.schema.get_field_index("text"))):
-            rows, t = len(chunk.offsets) - 1, measure(chunk)
+            rows, t = len(chunk.offsets) - 1, measure(chunk, model.mined)
             row, feature = features(t, rows)
             bad = {k: 1 / (1 + np.exp(-np.clip(np.bincount(row, w[feature], minlength=rows), -40, 40))) for k, w in model.weights.items()}
             weak = {k: model.posterior[k][pattern(v)] for k, v in votes(t.stats).items()}
@@ -249,12 +310,12 @@ def classify(docs: DataFrame, model_of: Callable[[], Model]) -> DataFrame:
     return append(docs, SCORES, columns)
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """Documents scored by a model fitted on themselves."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     return classify(docs, lambda: sent.value)
 
 
 def op9_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return scored(docs).select("doc_id", "quality_score", "toxic_score", "weak_quality", "weak_toxic", "kept")
+    return scored(docs, table(spark, sf_dir, "labels")).select("doc_id", "quality_score", "toxic_score", "weak_quality", "weak_toxic", "kept")
