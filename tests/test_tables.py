@@ -145,10 +145,36 @@ def test_govern_stream_equals_batch(spark, tmp_path):
     df.union(df).write.parquet(str(tmp_path / "in"))
     for _ in range(2):  # the second run replays nothing
         streams.govern_stream(spark, str(tmp_path / "in"), str(tmp_path / "audit"), str(tmp_path / "reviews"), str(tmp_path / "chk")).awaitTermination()
+    rejected = spark.read.parquet(str(tmp_path / "audit_rejected")).collect()
+    assert [(r["request_id"], r["violations"]) for r in rejected] == [("r3", ["prompt_length"])]
     stored = {r["request_id"]: r["action_taken"] for r in spark.read.parquet(str(tmp_path / "audit")).collect()}
     batch = {r["request_id"]: r["final_action"] for r in plans.govern(readers.split_valid(df)[0]).collect()}
     assert stored == batch and len(stored) == 3
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 3
+    # rows of any age reach the audit
+    late = [("late", now - dt.timedelta(days=5), "t", "u", "s", "customer_chatbot", "Hello", "Fine.", None, None)]
+    spark.createDataFrame(late, readers.INTERACTIONS).write.mode("append").parquet(str(tmp_path / "in"))
+    streams.govern_stream(spark, str(tmp_path / "in"), str(tmp_path / "audit"), str(tmp_path / "reviews"), str(tmp_path / "chk")).awaitTermination()
+    assert {r["request_id"] for r in spark.read.parquet(str(tmp_path / "audit")).collect()} == {*stored, "late"}
+
+
+def test_metrics_name_a_missing_use_case(spark):
+    now = dt.datetime(2024, 1, 1)
+    audit = spark.createDataFrame([(i, None, "ALLOW", "LOW", 0.1, 100, now, 0.0, 0) for i in range(3)],
+                                  "request_id int, use_case string, action_taken string, risk_level string, risk_score double, latency_ms int, ts timestamp, bias_score double, flagged_claim_count int")
+    fb = spark.createDataFrame([(0, "BLOCK", "ALLOW", False)], "request_id int, engine_action string, correct_action string, false_negative boolean")
+    got = {r["use_case"]: (r["avg_latency_ms"], r["p95_latency_ms"], r["feedback_count"]) for r in metrics.metrics_summary(audit, fb).collect()}
+    assert got == {"unknown": (100.0, 100.0, 1), "*": (100.0, 100.0, 1)}
+
+
+def test_labelled_cases_as_lines_and_documents(spark, tmp_path):
+    case = '{"id": "%s", "category": "c", "expected_positive": true}'
+    (tmp_path / "a.json").write_text('{"cases": [%s, %s]}' % (case % "1", case % "2"))
+    (tmp_path / "b.json").write_text(case % "3" + "\n" + case % "4" + "\n")
+    assert sorted(r["id"] for r in readers.load_labelled_cases(spark, str(tmp_path)).collect()) == ["1", "2", "3", "4"]
+    (tmp_path / "c.json").write_text('{"cases": [')
+    with pytest.raises(Exception, match="(?i)malformed|parse|json"):
+        readers.load_labelled_cases(spark, str(tmp_path / "c.json")).collect()
 
 
 # The SQL comparison of every query runs in check_oracle.py; here a sample at the smallest scale.

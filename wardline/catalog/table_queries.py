@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -86,6 +85,20 @@ def metrics_summary(spark, sf):
     return s.withColumns({c: F.round(c, 6) for c in ("avg_risk_score", "avg_latency_ms", "p95_latency_ms", "false_positive_rate")})
 
 
+@query("metrics_summary_period", with_(AUDIT, FEEDBACK) + f""", mine AS (SELECT * FROM audit_v WHERE tenant_id = 't1' AND ts >= (SELECT max(ts) FROM audit_v) - INTERVAL 7 DAY),
+twice AS (SELECT * FROM mine UNION ALL BY NAME SELECT * REPLACE ('*' AS use_case) FROM mine),
+fb AS (SELECT use_case, count(*) AS feedback_count FROM feedback_v f JOIN twice USING (request_id) GROUP BY use_case)
+SELECT b.*, coalesce(feedback_count, 0) AS feedback_count FROM (
+SELECT use_case, count(*) AS total_requests, {ACTION_COUNTS}, round(avg((bias_score > 0.3)::INT), 6) AS bias_detection_rate, round(sum(CAST(tokens_used / 1000000.0 AS DECIMAL(20,10)))::DOUBLE, 6) AS total_cost_usd,
+round(quantile_cont(latency_ms, 0.95), 6) AS p95_latency_ms FROM twice GROUP BY use_case) b LEFT JOIN fb USING (use_case)""")
+def metrics_summary_period(spark, sf):
+    """One tenant's last seven days, with detection rate and cost."""
+    a = W.audit(spark, sf).withColumns({"bias_detected": F.col("bias_score") > 0.3, "estimated_cost_usd": F.col("tokens_used") / 1000000.0})
+    s = metrics.metrics_summary(a, W.feedback(spark, sf), "7d", tenant="t1")
+    return s.select("use_case", "total_requests", *[f"{x.lower()}_count" for x in V.ACTIONS], F.round("bias_detection_rate", 6).alias("bias_detection_rate"),
+                    F.round("total_cost_usd", 6).alias("total_cost_usd"), F.round("p95_latency_ms", 6).alias("p95_latency_ms"), "feedback_count")
+
+
 @query("false_positive_rate", with_(AUDIT, FEEDBACK) + """SELECT use_case, n AS feedback_count, fp AS false_positives, round(fp / n::DOUBLE, 6) AS false_positive_rate FROM (
 SELECT use_case, count(*) AS n, count(*) FILTER (correct_action <> engine_action AND engine_action IN ('BLOCK', 'REDACT', 'ESCALATE')) AS fp
 FROM feedback_v f JOIN audit_v USING (request_id) GROUP BY use_case)""")
@@ -346,11 +359,11 @@ def session_risk(spark, sf):
 
 
 def _scratch(spark) -> str:
-    """A fresh folder below the shared checkpoint folder; a temporary one only without a cluster setting."""
+    """A fresh folder below the shared checkpoint folder; one of our own only where none is set (tests)."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", "")
-    return f"{shared.rstrip('/')}/wardline-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="wardline-")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    return f"{shared.rstrip('/')}/wardline-{uuid.uuid4().hex}"
 
 
 @query("stream_metrics", with_(AUDIT) + """SELECT tenant_id, use_case, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS window_us, count(*) AS requests, count(*) FILTER (action_taken = 'BLOCK') AS blocked,

@@ -69,8 +69,7 @@ GOVERNED = "(" + ", ".join(q(t) for t in V.PII_GOVERNED_TYPES) + ")"
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
     d = pii.scan_pii(docs(spark, sf), "text", "pii")
-    kinds = [k.strip() for k in ALL_TYPES]
-    return pii.findings_table(d, "pii", "request_id", "use_case", "lang").filter(F.col("type").isin(*kinds))
+    return pii.findings_table(d, "pii", "request_id", "use_case", "lang")
 
 
 @query("pii_spans", with_(DOCS, HITS) + """SELECT request_id, type, count(*) AS n, CAST(sum(s) AS BIGINT) AS start_sum, CAST(sum(length(v)) AS BIGINT) AS length_sum
@@ -305,7 +304,7 @@ def top_pii_types(spark, sf):
 @query("most_common_pii_type", with_(DOCS, HITS) + """SELECT use_case, type AS most_common_pii_type, n FROM (SELECT use_case, type, count(*) AS n,
 row_number() OVER (PARTITION BY use_case ORDER BY count(*) DESC, type) AS rn FROM hits GROUP BY use_case, type) WHERE rn = 1""")
 def most_common_pii_type(spark, sf):
-    return metrics.top_pii_types(_findings(spark, sf), 1, "use_case")
+    return metrics.most_common_pii_type(_findings(spark, sf), "use_case")
 
 
 SENTENCES = lambda col: f"string_split_regex(regexp_replace({col}, '([.!?])\\s+', '\\1' || chr(1), 'g'), '[' || chr(1) || '\\n]+')"
@@ -380,7 +379,19 @@ def confusion_by_group(spark, sf):
     return quality.confusion_metrics(r, "lang")
 
 
-@query("injection_scan", with_(PAIRS) + "SELECT use_case, count(*) AS n, CAST(0 AS BIGINT) AS detected FROM pairs_v GROUP BY use_case")
+def first_rule_sql(text: str) -> str:
+    """The first injection rule that matches, in SQL; the one lookahead becomes an exclusion."""
+    parts = []
+    for i, (p, _) in enumerate(V.INJECTION_RULES):
+        plain = p.replace(r"(?!a\s+helpful)", "")
+        hit = f"regexp_matches({text}, {q(plain)}, 'is')"
+        if plain != p:
+            hit += f" AND NOT regexp_matches({text}, {q(plain + 'a' + chr(92) + 's+helpful')}, 'is')"
+        parts.append(f"WHEN {hit} THEN {i}")
+    return "CASE " + " ".join(parts) + " END"
+
+
+@query("injection_scan", with_(PAIRS) + f"SELECT use_case, count(*) AS n, count({first_rule_sql('prompt')}) AS detected FROM pairs_v GROUP BY use_case")
 def injection_scan(spark, sf):
     r = injection.injection_result(injection.scan_injection_rules(turn_pairs(spark, sf), "prompt"))
     return r.groupBy("use_case").agg(F.count("*").alias("n"), F.count_if("injection_detected").alias("detected"))

@@ -21,19 +21,21 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 BITS = 62
+#: Unicode classes as the exact patterns read them, for the prefilter's engine.
+WIDE = {"s": r"\s\v\p{Z}\x{85}", "w": r"\w\p{L}\p{M}\p{N}\p{Pc}", "d": r"\d\p{Nd}"}
 _LOOKAROUND = re.compile(r"\(\?<?[=!](?:[^()\\]|\\.|\[[^\]]*\])*\)")
 
 
 def superset(pattern: str) -> str:
     """A pattern for the linear-time engine that matches wherever ``pattern`` does."""
-    out, in_class, i = [], False, 0
+    out, in_class, negated, i = [], False, False, 0
     text = _LOOKAROUND.sub("", pattern)
     while i < len(text):
         c = text[i]
         if c == "\\":
             pair = text[i:i + 2]
-            if pair == r"\s":
-                out.append(r"\s\v" if in_class else r"[\s\v]")
+            if pair[1:] in WIDE and not (in_class and negated):  # fewer exclusions match more
+                out.append(WIDE[pair[1:]] if in_class else f"[{WIDE[pair[1:]]}]")
             elif pair != r"\b" or in_class:
                 out.append(pair)
             i += 2
@@ -41,7 +43,7 @@ def superset(pattern: str) -> str:
         if in_class:
             in_class = c != "]"
         elif c == "[":
-            in_class = True
+            in_class, negated = True, text[i + 1:i + 2] == "^"
             if text[i + 1:i + 2] in ("]", "^"):
                 out.append(c)
                 i, c = i + 1, text[i + 1]
@@ -61,16 +63,27 @@ def _supported(pattern: str) -> bool:
         return False
 
 
+def _joined(patterns: Sequence[str]) -> list[str]:
+    """Alternations that the engine takes: halves where it finds one too large."""
+    one = "|".join(f"(?:{p})" for p in patterns)
+    if len(patterns) < 2 or _supported(one):
+        return [one]
+    half = len(patterns) // 2
+    return _joined(patterns[:half]) + _joined(patterns[half:])
+
+
 def rule_bits(text: Column, patterns: Sequence[str], flags: str = "") -> Column:
     """BIGINT whose bit ``i % 62`` is set when rule ``i`` may match; 0 for most texts."""
     each = [flags + superset(p) for p in patterns]
     sure = [p if _supported(p) else "" for p in each]  # unknown to the engine: always look closer
-    every = "|".join(f"(?:{p})" for p in sure)
+    every = _joined(sure)
 
     @F.arrow_udf("bigint")
     def bits(column: pa.Array) -> pa.Array:
         column = pc.fill_null(column, "")
-        hit = pc.match_substring_regex(column, every)
+        hit = pc.match_substring_regex(column, every[0])
+        for one in every[1:]:
+            hit = pc.or_(hit, pc.match_substring_regex(column, one))
         some = column.filter(hit)
         marks = [0] * len(some)
         for i, p in enumerate(sure):

@@ -21,8 +21,13 @@ def tenant_scope(df: DataFrame, tenant: str | None = None) -> DataFrame:
     return df if tenant is None else df.filter(F.col("tenant_id") == tenant)
 
 
-def tenant_scope_any(df: DataFrame, tenants: Sequence[str] | None = None) -> DataFrame:
-    """Rows of any of the tenants; None means all tenants, an empty list none."""
+def tenant_scope_any(df: DataFrame, tenants: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """Rows of any of the tenants; None means all tenants, an empty list none.
+
+    A long list comes as a table with ``tenant_id`` and is semi-joined.
+    """
+    if isinstance(tenants, DataFrame):
+        return df.join(tenants.select("tenant_id").distinct(), "tenant_id", "left_semi")
     return df if tenants is None else df.filter(F.col("tenant_id").isin(list(tenants)))
 
 
@@ -70,16 +75,23 @@ def sanitize_evidence(df: DataFrame, column: str, mode: str = "redacted") -> Dat
             return {k: V.REDACTED_METADATA if k.lower() in keys else clean(v) for k, v in value.items()}
         return [clean(v) for v in value] if isinstance(value, list) else value
 
+    def cleaned(document: str | None) -> str | None:
+        if document is None:
+            return None
+        try:
+            return json.dumps(clean(json.loads(document)), ensure_ascii=False)
+        except (ValueError, RecursionError):  # not a document: nothing in it can be told apart
+            return V.REDACTED_METADATA
+
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda s: None if s is None else json.dumps(clean(json.loads(s)), ensure_ascii=False))
+            yield batch.map(cleaned)
 
     # Documents without any content key keep their text and skip Python.
     pattern = "(?i)\"(?:" + "|".join(V.CONTENT_KEYS) + ")\""
-    touched = F.col(column).rlike(pattern)
-    plain = df.filter(F.coalesce(~touched, F.lit(True)))
-    return plain.unionByName(df.filter(touched).withColumn(column, run(F.col(column))))
+    touched = F.when(F.col(column).rlike(pattern), F.col(column))
+    return df.withColumn("_clean", run(touched)).withColumn(column, F.coalesce("_clean", column)).drop("_clean")
 
 
 def sanitize_evidence_struct(df: DataFrame, column: str, fields: Sequence[str] = V.CONTENT_KEYS) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline import fixed_values as V
 from wardline.functions.scores import period_hours, pii_type_risk, safe_divide
 from wardline.operators.audit import tenant_scope
-from wardline.operators.skew import quantile
+from wardline.operators.skew import quantile, quantile_of_counts, value_counts
 
 ALL = "*"
+UNKNOWN = "unknown"
 
 
 def in_period(df: DataFrame, period: str = "24h", as_of: dt.datetime | None = None, tenant: str | None = None) -> DataFrame:
@@ -126,12 +127,17 @@ def rates(df: DataFrame) -> DataFrame:
 
 
 def top_pii_types(findings: DataFrame, n: int = 10, *by: str) -> DataFrame:
-    """Most frequent types, ties by name; with ``by`` the most common type per group."""
+    """The ``n`` most frequent types, overall or per group, ties by name."""
     counted = findings.filter(F.col("detector") == "pii").groupBy(*by, "type").agg(F.count("*").alias("n"))
     if not by:
         return counted.orderBy(F.desc("n"), "type").limit(n)
-    best = F.min(F.struct((-F.col("n")).alias("k"), "type")).alias("b")
-    return counted.groupBy(*by).agg(best).select(*by, F.col("b.type").alias("most_common_pii_type"), (-F.col("b.k")).alias("n"))
+    # a group has one row per type here
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), "type")
+    return counted.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def most_common_pii_type(findings: DataFrame, *by: str) -> DataFrame:
+    return top_pii_types(findings, 1, *by).withColumnRenamed("type", "most_common_pii_type")
 
 
 def bias_detection_rate(df: DataFrame, *by: str) -> DataFrame:
@@ -143,32 +149,59 @@ def total_estimated_cost(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.round(F.coalesce(cost, F.lit(0.0)), 8).alias("total_cost_usd"))
 
 
-def metrics_summary(audit: DataFrame, feedback: DataFrame) -> DataFrame:
+def metrics_summary(audit: DataFrame, feedback: DataFrame, period: str | None = None, as_of: dt.datetime | None = None,
+                    tenant: str | None = None, findings: DataFrame | None = None, top: int = 10) -> DataFrame:
     """One row per use case and one for all (``*``): actions, risk, latency, tallies, feedback.
 
-    The audit table is combined to one row per use case in a single aggregation; the overall
-    row is a rollup of those rows, not a second pass over the data.
+    With ``period`` only the rows of the period that ends at ``as_of`` count, with ``tenant``
+    only its rows.  Where the audit table has ``bias_detected`` or ``estimated_cost_usd``, the
+    detection rate and the cost are added; with ``findings`` (use_case, detector, type) the
+    ``top`` most frequent types of personal data.
+
+    The audit table is combined to one row per use case in one aggregation, and to latency
+    counts in another; the overall row comes from those rows, not from the data again.
     """
+    if period is not None:
+        audit = in_period(audit, period, as_of, tenant)
+    elif tenant is not None:
+        audit = tenant_scope(audit, tenant)
+    extra = {}
+    if "bias_detected" in audit.columns:
+        extra["_biased"] = F.count_if("bias_detected")
+    if "estimated_cost_usd" in audit.columns:
+        extra["_cost"] = F.sum(F.col("estimated_cost_usd").cast("decimal(20,10)"))
+    audit = audit.withColumn("use_case", F.coalesce("use_case", F.lit(UNKNOWN)))
     base = audit.groupBy("use_case").agg(
         F.count("*").alias("total_requests"), *_actions(), *_levels(), *_tally_columns(audit),
         F.sum("risk_score").alias("_risk"), F.count("risk_score").alias("_risk_n"),
-        F.sum("latency_ms").alias("_lat"), F.count("latency_ms").alias("_lat_n"),
+        F.sum("latency_ms").alias("_lat"), F.count("latency_ms").alias("_lat_n"), *[c.alias(n) for n, c in extra.items()],
     )
     sums = [c for c in base.columns if c != "use_case"]
     rolled = base.rollup("use_case").agg(F.grouping_id().alias("_all"), *[F.sum(c).alias(c) for c in sums])
-    named = rolled.withColumn("use_case", F.when(F.col("_all") == 1, ALL).otherwise(F.coalesce("use_case", F.lit("unknown")))).drop("_all")
+    named = rolled.withColumn("use_case", F.when(F.col("_all") == 1, ALL).otherwise(F.col("use_case"))).drop("_all")
     shaped = (
         named.withColumn("avg_risk_score", safe_divide(F.col("_risk"), F.col("_risk_n")))
         .withColumn("avg_latency_ms", safe_divide(F.col("_lat"), F.col("_lat_n"))).drop("_risk", "_risk_n", "_lat", "_lat_n")
     )
-    p95 = quantile(audit, ["use_case"], "latency_ms", 0.95, "p95_latency_ms").unionByName(
-        quantile(audit, [], "latency_ms", 0.95, "p95_latency_ms").withColumn("use_case", F.lit(ALL))
-    )
+    if "_biased" in extra:
+        shaped = shaped.withColumn("bias_detection_rate", safe_divide(F.col("_biased"), F.col("total_requests"))).drop("_biased")
+    if "_cost" in extra:
+        shaped = shaped.withColumn("total_cost_usd", F.round(F.coalesce(F.col("_cost").cast("double"), F.lit(0.0)), 8)).drop("_cost")
+    counts = value_counts(audit, ["use_case"], "latency_ms")
+    both = counts.unionByName(counts.withColumn("use_case", F.lit(ALL)).groupBy("use_case", "_v").agg(F.sum("_n").alias("_n")))
+    p95 = quantile_of_counts(both, ["use_case"], 0.95, "p95_latency_ms")
     fp = false_positive_rate(feedback, audit, "use_case").select("use_case", "feedback_count", "false_positives")
     fp_all = fp.rollup("use_case").agg(
         F.grouping_id().alias("_all"), F.sum("feedback_count").alias("feedback_count"), F.sum("false_positives").alias("false_positives"))
     fp_all = fp_all.withColumn("use_case", F.when(F.col("_all") == 1, ALL).otherwise(F.col("use_case"))).drop("_all")
     out = shaped.join(p95, "use_case", "left").join(fp_all, "use_case", "left")
+    if findings is not None:
+        named = findings.withColumn("use_case", F.coalesce("use_case", F.lit(UNKNOWN)))
+        ranked = top_pii_types(named, top, "use_case").unionByName(top_pii_types(named.withColumn("use_case", F.lit(ALL)), top, "use_case"))
+        order = F.struct((-F.col("n")).alias("k"), "type")
+        lists = ranked.groupBy("use_case").agg(F.array_sort(F.collect_list(order)).alias("_t"))
+        lists = lists.select("use_case", F.transform("_t", lambda x: F.struct(x["type"].alias("type"), (-x["k"]).alias("n"))).alias("top_pii_types"))
+        out = out.join(lists, "use_case", "left")
     return (
         out.withColumn("p95_latency_ms", F.coalesce("p95_latency_ms", F.lit(0.0)))
         .withColumn("feedback_count", F.coalesce("feedback_count", F.lit(0)))
@@ -187,8 +220,6 @@ def session_risk(audit: DataFrame, gap_minutes: int = 30, user: str = "user_id")
         F.min("ts").alias("_from"), F.max("ts").alias("_to"), F.count("*").alias("_n"),
         F.sum(F.col("risk_score").cast("decimal(20,6)")).alias("_sum"), F.max("risk_score").alias("_max"),
     )
-    from pyspark.sql import Window
-
     w = Window.partitionBy(user).orderBy("_m")
     gap = F.expr(f"interval {int(gap_minutes)} minutes")
     opens = F.coalesce(F.col("_from") >= F.lag("_to").over(w) + gap, F.lit(True))

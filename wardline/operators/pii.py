@@ -137,16 +137,15 @@ def scan_aliases(df: DataFrame, aliases: DataFrame, key: str, text: str, max_row
         .withColumn("phrase", F.array_join("_words", " "))
     )
     grouped = prepared.groupBy("phrase").agg(F.collect_set(F.struct("kind", "concept", "alias")).alias("entries"))
-    lengths = [r[0] for r in prepared.select("_len").distinct().limit(64).collect() if r[0]]
+    lengths = prepared.where("_len > 0").agg(F.array_sort(F.collect_set("_len"))).first()[0]  # one number per alias length
     staged = df.select(key, words(F.col(text)).alias("_w"))
 
-    def sequences(n: int) -> Column:
-        if n == 1:
-            return F.col("_w")
+    def sequences(n: Column) -> Column:
         starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))
 
-    grams = staged.select(key, F.explode(F.array_distinct(F.concat(*[sequences(n) for n in lengths]))).alias("phrase"))
+    every = F.flatten(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), sequences))
+    grams = staged.select(key, F.explode(F.array_distinct(every)).alias("phrase"))
     hits = grams.join(F.broadcast(grouped), "phrase") if fits(grouped, max_rows) else join_unique(grams, grouped, ["phrase"])
     held = hits.groupBy(key).agg(F.flatten(F.collect_list("entries")).alias("_held"))
     found = df.select(key, F.col(text).alias("_t")).join(held, key).select(key, "_t", F.explode("_held").alias("e"))

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline import fixed_values as V
 from wardline.functions.scores import safe_divide
-from wardline.operators.skew import quantile
+from wardline.operators.skew import quantile_of_counts, value_counts
 
 ALL = "*"
+UNKNOWN = "unknown"
 
 
 def rate_columns(df: DataFrame) -> DataFrame:
@@ -35,6 +36,7 @@ def confusion_metrics(results: DataFrame, by: str = "category") -> DataFrame:
     Reads expected_positive, actual_positive, expected_action, actual_action, latency_ms,
     llm_call_avoided.  Results are combined per category once; the overall row is their rollup.
     """
+    results = results.withColumn(by, F.coalesce(F.col(by).cast("string"), F.lit(UNKNOWN)))
     cells = _cells(F.col("expected_positive"), F.col("actual_positive"))
     base = results.groupBy(by).agg(
         F.count("*").alias("cases"), *[F.count_if(c).alias(n) for n, c in cells.items()],
@@ -45,9 +47,9 @@ def confusion_metrics(results: DataFrame, by: str = "category") -> DataFrame:
     sums = [c for c in base.columns if c != by]
     rolled = base.rollup(by).agg(F.grouping_id().alias("_all"), *[F.sum(c).alias(c) for c in sums])
     rolled = rolled.withColumn(by, F.when(F.col("_all") == 1, ALL).otherwise(F.col(by))).drop("_all")
-    p95 = quantile(results, [by], "latency_ms", 0.95, "p95_latency_ms", nearest_rank=True).unionByName(
-        quantile(results, [], "latency_ms", 0.95, "p95_latency_ms", nearest_rank=True).withColumn(by, F.lit(ALL))
-    )
+    counts = value_counts(results, [by], "latency_ms")
+    both = counts.unionByName(counts.withColumn(by, F.lit(ALL)).groupBy(by, "_v").agg(F.sum("_n").alias("_n")))
+    p95 = quantile_of_counts(both, [by], 0.95, "p95_latency_ms", nearest_rank=True)
     out = rate_columns(rolled.join(p95, by, "left"))
     return (
         out.withColumn("action_accuracy", F.round(safe_divide(F.col("_right"), F.col("cases")), 6))

@@ -70,15 +70,27 @@ def quantile(
 ) -> DataFrame:
     """Exact quantile per group from value counts, refined in two steps.
 
-    Counts per unit-wide range find the range that holds the rank; only the values of that
-    range are looked at afterwards.  No task sees a group's rows, only its value counts.
     ``nearest_rank`` gives the nearest-rank value, otherwise the interpolated one.
     """
+    return quantile_of_counts(value_counts(df, groups, value), groups, q, out, nearest_rank)
+
+
+def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Rows per group and distinct value: ``(groups, _v, _n)``, combined on the map side."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+
+
+def quantile_of_counts(hist: DataFrame, groups: Sequence[str], q: float, out: str, nearest_rank: bool = False) -> DataFrame:
+    """Exact quantile per group from its value counts.
+
+    Counts per range find the range that holds the rank; only the values of that range are
+    looked at afterwards.  Ranges are slices of a logarithmic scale, some 256 for each doubling
+    of the value, so a group has some ten thousand at most whatever its values: scores between
+    0 and 1 spread over thousands, and a window over a group's ranges, or over all of them
+    without groups, sees few rows.
+    """
     groups = list(groups)
-    hist = (
-        df.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v"))
-        .agg(F.count("*").alias("_n")).withColumn("_range", F.floor("_v"))
-    )
+    hist = hist.withColumn("_range", F.floor(256 * F.signum("_v") * F.log2(1 + F.abs("_v") * float(1 << 20))))
     coarse = hist.groupBy(*groups, "_range").agg(F.sum("_n").alias("_n"))
     up_to = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     coarse = coarse.withColumn("_cum", F.sum("_n").over(up_to)).withColumn(

@@ -28,6 +28,7 @@ LABELLED_CASE = (
     "evidence array<struct<score:double,doc_id:string,title:string,content:string>>, threshold double, "
     "expected_positive boolean, expected_action string"
 )
+FAIL_FAST = {"mode": "FAILFAST"}  # malformed documents end the job; PERMISSIVE would give no rows
 MAX_CONFIG_BYTES = 16 * 1024 * 1024
 
 
@@ -75,7 +76,7 @@ def _config(spark: SparkSession, path: str) -> dict:
 def load_kb(spark: SparkSession, path: str) -> DataFrame:
     """Flatten ``{use_case: [documents]}`` to rows; ``index_text`` is title and content."""
     doc = "map<string,array<struct<id:string,title:string,content:string>>>"
-    files = spark.read.text(path, wholetext=True).select(F.from_json("value", doc).alias("m"))
+    files = spark.read.text(path, wholetext=True).select(F.from_json("value", doc, FAIL_FAST).alias("m"))
     rows = files.select(F.explode("m").alias("use_case", "docs")).select("use_case", F.explode("docs").alias("d"))
     return rows.select(
         F.col("d.id").alias("doc_id"), F.col("d.title").alias("title"), F.col("d.content").alias("content"), "use_case",
@@ -189,10 +190,19 @@ def references_frame(spark: SparkSession, references=V.BIAS_REFERENCES) -> DataF
 
 
 def load_labelled_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Cases from ``{"cases": [...]}`` documents or JSON lines, with the explicit schema."""
+    """Cases from ``{"cases": [...]}`` documents or JSON lines, with the explicit schema.
+
+    A file whose first line is a whole JSON document without ``cases`` holds JSON lines.
+    Anything malformed ends the job.
+    """
     whole = spark.read.text(path, wholetext=True)
-    boxed = whole.select(F.explode(F.from_json("value", f"cases array<struct<{_as_struct(LABELLED_CASE)}>>")["cases"]).alias("c"))
-    return boxed.select("c.*")
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
+    first = F.coalesce(F.element_at(lines, 1), F.lit(""))
+    is_lines = F.coalesce(F.json_object_keys(first).isNotNull() & ~F.array_contains(F.json_object_keys(first), "cases"), F.lit(False))
+    case = f"struct<{_as_struct(LABELLED_CASE)}>"
+    boxed = F.from_json(F.when(~is_lines, F.col("value")), f"cases array<{case}>", FAIL_FAST)["cases"]
+    each = F.from_json(F.when(is_lines, F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]"))), f"array<{case}>", FAIL_FAST)
+    return whole.select(F.explode(F.coalesce(boxed, each)).alias("c")).select("c.*")
 
 
 def _as_struct(ddl: str) -> str:

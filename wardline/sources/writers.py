@@ -29,6 +29,16 @@ def write_audit(df: DataFrame, path: str) -> None:
     dated.write.mode("append").partitionBy("date").parquet(path)
 
 
+def write_rejected(df: DataFrame, path: str) -> None:
+    """Append rejected rows with their violations; rows that are stored already are skipped."""
+    named = df.withColumn("row_sha256", F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256))
+    new = named.dropDuplicates(["row_sha256"])
+    stored = read_or_none(df.sparkSession, path)
+    if stored is not None:
+        new = new.join(stored.select("row_sha256"), "row_sha256", "left_anti")
+    new.write.mode("append").parquet(path)
+
+
 def write_reviews(new_reviews: DataFrame, path: str) -> None:
     new_reviews.write.mode("append").parquet(path)
 

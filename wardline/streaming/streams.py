@@ -16,7 +16,6 @@ from wardline.sources import readers, writers
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 STATUS_OF = R.STATUS_OF
 REVIEW_OUT = "request_id bigint, outcome string, status string, correct_action string, reviewer_id string, refused bigint"
-RETENTION_MS = 30 * 24 * 3600 * 1000
 
 
 def dedupe(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
@@ -43,7 +42,7 @@ def session_metrics(stream: DataFrame, gap: str = "30 minutes", watermark: str =
     return s.select(user, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "requests", "risk_max")
 
 
-def _review_step(retention_ms: int) -> Callable:
+def _review_step(retention_ms: int | None) -> Callable:
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -70,32 +69,39 @@ def _review_step(retention_ms: int) -> Callable:
                 row = ("unknown" if status is None else "conflict", status, None, None, seen)
         if status is not None:
             state.update((status,))
-            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + retention_ms)
+            if retention_ms is not None:
+                state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + retention_ms)
         if row is not None:
             yield pd.DataFrame([(key[0], *row)], columns=["request_id", "outcome", "status", "correct_action", "reviewer_id", "refused"])
 
     return step
 
 
-def review_states(stream: DataFrame, retention_ms: int = RETENTION_MS, watermark: str = "1 day") -> DataFrame:
+def review_states(stream: DataFrame, retention_ms: int | None = None, watermark: str = "1 day") -> DataFrame:
     """Keyed review state: a review opens PENDING, the earliest decision wins, later ones are refused.
 
-    Reads kind (review or decision), request_id, ts, decision_id, decision, reviewer_id.  A
-    review's state is dropped once the watermark is ``retention_ms`` past its last event.
+    Reads kind (review or decision), request_id, ts, decision_id, decision, reviewer_id.  States
+    are kept for good; with ``retention_ms`` one is dropped once the watermark is that far past
+    its last event, and a decision after that is answered "unknown".
     """
     return stream.withWatermark("ts", watermark).groupBy("request_id").applyInPandasWithState(
         _review_step(retention_ms), REVIEW_OUT, "status string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def govern_stream(spark: SparkSession, in_dir: str, audit_dir: str, reviews_dir: str, checkpoint: str, evidence=None, **options):
+def govern_stream(spark: SparkSession, in_dir: str, audit_dir: str, reviews_dir: str, checkpoint: str, evidence=None, rejected_dir: str | None = None, **options):
     """Govern files as they arrive: the batch plan per micro-batch, then audit and review sinks.
 
-    Both sinks skip ids they already hold, so a replayed batch adds nothing twice.
+    No row is lost: rows that fail the request checks go to ``rejected_dir`` with their
+    violations (beside the audit table by default), and rows of any age reach the audit, for
+    nothing is dropped by a watermark.  All sinks skip what they already hold, so a replayed
+    batch adds nothing twice.
     """
+    rejected_dir = rejected_dir or f"{audit_dir.rstrip('/')}_rejected"
     source = spark.readStream.schema(readers.INTERACTIONS).option("maxFilesPerTrigger", 100).parquet(in_dir)
 
     def write(batch: DataFrame, _: int) -> None:
-        valid, _rejected = readers.split_valid(batch)
+        valid, rejected = readers.split_valid(batch)
+        writers.write_rejected(rejected, rejected_dir)
         rows = plans.audit_rows(plans.govern(valid, evidence, **options))
         writers.write_audit(rows, audit_dir)
         stored = writers.read_or_none(batch.sparkSession, audit_dir)
@@ -106,8 +112,7 @@ def govern_stream(spark: SparkSession, in_dir: str, audit_dir: str, reviews_dir:
         writers.write_reviews(R.enqueue_reviews(mine, held if held is not None else empty), reviews_dir)
 
     return (
-        source.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["request_id"])
-        .writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
