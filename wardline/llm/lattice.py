@@ -36,7 +36,7 @@ FOLDS, HELD_OUT = 5, 1
 #: Words broadcast to score documents without a join: at most so many (24 bytes each).
 FREQUENT = 1 << 18
 ZIPF_SHIFT = 2.7
-WORD_CHUNK = textops.CHUNK * 8
+WORD_CHUNK = textops.CHUNK * 4
 Batches = Iterator[pa.RecordBatch]
 
 
