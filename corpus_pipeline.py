@@ -44,7 +44,8 @@ def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def training_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per copy that the mix takes, in order of its training position."""
-    return curriculum.training_order(curriculum.mix(docs), [*docs.columns, "size", "target", "taken"])
+    own = ["size", "target", "taken"]
+    return curriculum.training_order(curriculum.mix(docs), [*(c for c in docs.columns if c not in own), *own])
 
 
 STAGES: list[tuple[str, Stage]] = [
