@@ -287,3 +287,15 @@ def test_leaks(spark: SparkSession) -> None:
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.matched(make_docs(spark, rows[:3]), none, "leaks").where(F.size("leaks") > 0).count() == 0
     assert decontaminate.matched(make_docs(spark, []), benchmark, "leaks").count() == 0
+
+
+def test_hot_leaks(spark: SparkSession) -> None:
+    """Passages that much of the table holds: copies of a short document with an item, and a table of nothing else."""
+    items = [(k, prose(6000 + k, 38)) for k in range(3)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    hot = prose(1, 25) + " " + items[0][1] + " " + prose(2, 30)
+    rows = [(k, hot if k % 3 == 0 else prose(7000 + k, 95), "en", "a") for k in range(150)]
+    got = decontaminate.matched(make_docs(spark, rows), benchmark, "leaks").select("doc_id", F.explode("leaks.item_id").alias("item")).collect()
+    assert {(r["doc_id"], r["item"]) for r in got} == {(k, 0) for k in range(0, 150, 3)}
+    got = decontaminate.matched(make_docs(spark, [(k, items[1][1], "en", "a") for k in (1, 2)]), benchmark, "leaks").select("doc_id", F.explode("leaks.item_id").alias("item")).collect()
+    assert {(r["doc_id"], r["item"]) for r in got} == {(1, 1), (2, 1)}
