@@ -299,3 +299,19 @@ def test_hot_leaks(spark: SparkSession) -> None:
     assert {(r["doc_id"], r["item"]) for r in got} == {(k, 0) for k in range(0, 150, 3)}
     got = decontaminate.matched(make_docs(spark, [(k, items[1][1], "en", "a") for k in (1, 2)]), benchmark, "leaks").select("doc_id", F.explode("leaks.item_id").alias("item")).collect()
     assert {(r["doc_id"], r["item"]) for r in got} == {(1, 1), (2, 1)}
+
+
+def test_sample_of_passages(spark: SparkSession) -> None:
+    """The sample keeps its bound, counts a repeated passage once and takes passages whatever their first word."""
+    benchmark = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
+    rows = [(None if k % 3 == 0 else k, "same " + prose(0, 40) if k % 3 == 0 else f"the {prose(8000 + k, 300)}", "en", "a") for k in range(300)]
+    docs = make_docs(spark, rows)
+    idf = decontaminate.inverse_frequencies(docs)
+    full = decontaminate.picked(docs, benchmark, idf, 1_000_000).count()
+    n = 0
+    for size in (200, 500):
+        got = decontaminate.picked(docs, benchmark, idf, size).collect()
+        n = len(got)
+        assert size < n <= size + 2 and len({r["pick"] for r in got}) >= size
+    again = decontaminate.picked(docs.repartition(7), benchmark, idf, 500).collect()
+    assert {r["pick"] for r in again} == {r["pick"] for r in got} and n < full <= 200 * 19 + 5
