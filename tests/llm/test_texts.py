@@ -315,3 +315,23 @@ def test_sample_of_passages(spark: SparkSession) -> None:
         assert size < n <= size + 2 and len({r["pick"] for r in got}) >= size
     again = decontaminate.picked(docs.repartition(7), benchmark, idf, 500).collect()
     assert {r["pick"] for r in again} == {r["pick"] for r in got} and n < full <= 200 * 19 + 5
+
+
+def test_short_leaks(spark: SparkSession) -> None:
+    """Verbatim items of any length are found wherever they stand, against a search of every document."""
+    rng, items, rows = random.Random(12), [], []
+    for k in range(120):
+        words = prose(9000 + k, 60).split()
+        items.append((k, " ".join(words[: (3, 5, 6, 7, 8, 10, 14, 20)[k % 8]])))
+    items.append((500, "the the the the the the stone walks"))
+    for k in range(121):
+        own = prose(20_000 + k, 300).split()
+        at = rng.randrange(len(own))
+        rows.append((k, " ".join([*own[:at], items[k][1], *own[at:]]), "en", "a"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.matched(make_docs(spark, rows), benchmark, "leaks").select("doc_id", F.explode("leaks").alias("m")).select("doc_id", "m.*").collect()
+    got = {(r["doc_id"], r["item_id"]) for r in found if r["lcs"] == 1.0}
+    texts = decontaminate.words_of([r[1] for r in rows])
+    words = decontaminate.words_of([t for _, t in items])
+    want = {(d, items[i][0]) for d, t in enumerate(texts) for i, w in enumerate(words) if any(t[a : a + len(w)] == w for a in range(len(t) - len(w) + 1))}
+    assert len(want) >= 121 and want <= got
