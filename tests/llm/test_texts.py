@@ -184,6 +184,20 @@ def test_language(spark: SparkSession) -> None:
     assert language.identify(make_docs(spark, [])).count() == 0
 
 
+def test_rare_language(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """A language of 0.01 % of the rows is learned, and no language has more regression rows than its bound."""
+    monkeypatch.setattr(language, "FIT_ROWS", 1500)
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choices(LANGUAGES[("en", "de")[k % 2]].split(), k=12)), ("en", "de")[k % 2], "s") for k in range(30_000)]
+    known = [k for k in range(40_000, 40_100) if crc(k) % 4 != 2][:3]
+    asked = [k for k in range(40_000, 40_100) if crc(k) % 4 == 2][:5]
+    rows += [(k, " ".join(rng.choices(LANGUAGES["fr"].split(), k=30)), "fr", "s") for k in known + asked]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(make_docs(spark, rows)).collect()}
+    assert all(got[k] == "fr" for k in asked)
+    held = [(got[k], lang) for k, _, lang, _ in rows[:30_000] if crc(k) % 4 == 2]
+    assert sum(a == b for a, b in held) >= 0.97 * len(held)
+
+
 def test_kernel_counts_common_ngrams() -> None:
     texts = ["abab cd", "abc 12", "Éa x"]
     tables, marks = language.spectrum(texts).opened()
