@@ -139,6 +139,36 @@ def test_disguises(text: str, kind: str, found: str) -> None:
     assert found not in deobfuscate.redacted(text, {k: base[k] + added[k] for k in deobfuscate.KINDS})
 
 
+@pytest.mark.parametrize(("text", "kind", "found"), [
+    ("write to maria.lopez at example.com today", "email", "maria.lopez at example.com"),
+    ("write maria dot lopez at example.com today", "email", "maria dot lopez at example.com"),
+    ("write maria dot lopez@example.com today", "email", "maria dot lopez@example.com"),
+    ("card 4111 one one one one 1111 1111.", "card", "4111 one one one one 1111 1111"),
+    ("ring +49 three zero 1234567 now", "phone", "+49 three zero 1234567"),
+])
+def test_partly_spelled(text: str, kind: str, found: str) -> None:
+    _, added = deobfuscate.find(text)
+    assert [text[a:b] for a, b in added[kind]] == [found]
+    assert deobfuscate.pc.match_substring_regex(deobfuscate.pa.array([text]), deobfuscate.BATCH_SIGNS)[0].as_py()
+
+
+def test_gates_hold_all_that_transducers_change() -> None:
+    rng = random.Random(9)
+    parts = ["at", "dot", "point", "punto", "arroba", "(", ")", "[", "]", "@", ".", "-", ",", " ", " ", " ", "\t", "\u2003", "maria", "lopez", "example", "com", "org", "one", "Six", "oh", "plus", "12", "4111", "+", "é"]
+    changed = 0
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(3, 14))) for _ in range(40_000)]
+    texts += [" ".join(rng.choice(parts) for _ in range(rng.randint(3, 9))) for _ in range(20_000)]
+    batch = deobfuscate.pc.match_substring_regex(deobfuscate.pa.array(texts), deobfuscate.BATCH_SIGNS).to_pylist()
+    for text, wide in zip(texts, batch, strict=True):
+        if any(deobfuscate.rewrite(text, *step).text != text for step in deobfuscate.TRANSDUCERS):
+            changed += 1
+            assert wide and (deobfuscate.GLYPHS.search(text) or deobfuscate.SIGNS.search(text)), text
+        assert wide or not any(deobfuscate.detect(text).values()), text
+    assert changed > 1000
+    for text in ("look at example.com for more", "we met at noon. one dot, two points"):
+        assert not any(deobfuscate.find(text)[1].values())
+
+
 def test_clean_texts_stay_clean() -> None:
     for text in [prose(1, 500), "we meet at the dot of noon", "look at page one, two or three of four", "La maison est à Paris. Él vive aquí, señor; über alles größer.", "at dot com", "one two three four five", "Москва — столица"]:
         assert not any(v for part in deobfuscate.find(text) for v in part.values()), text

@@ -158,24 +158,42 @@ SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]{{1,64}}(?
                     rf"(?P<host>[A-Za-z0-9-]{{1,63}}(?:(?:\s{{1,3}}{DOT_WORDS}\s{{1,3}}|\.)[A-Za-z0-9-]{{1,63}}){{1,5}})(?![A-Za-z0-9-])", re.I)
 NUMBER = re.compile(rf"(?<![A-Za-z0-9])(?:(?P<plus>plus)[\s-]{{1,3}})?(?:{_DIGIT}|[0-9]+)(?:[\s,.-]{{1,3}}(?:(?:dot|point)[\s-]{{1,3}})?(?:{_DIGIT}|[0-9]+))+(?![A-Za-z0-9])", re.I)
 _WORDS = re.compile(rf"{_DIGIT}|dot|point|plus|[0-9]+", re.I)
-SIGNS = re.compile(rf"{OPEN}(?:{AT_WORDS}|{DOT_WORDS}|[@.]){CLOSE}|\s{AT_WORDS}\s.{{0,200}}\s{DOT_WORDS}\s|@\S{{1,64}}\s{DOT_WORDS}\s|\b{_DIGIT}[\s,.-]{{1,3}}(?:(?:dot|point)\s)?(?:{_DIGIT}|[0-9])|[0-9]\s{DOT_WORDS}\s[0-9]", re.I | re.S)
-#: The same for whole Arrow batches, a little wider.
-BATCH_SIGNS = "(?i)[0-9@" + re.escape("".join(homoglyphs())).replace("\\-", "\\x{2D}") + rf"]|{OPEN}(?:{AT_WORDS}|{DOT_WORDS}){CLOSE}|\s{DOT_WORDS}\s|(?:{_DIGIT})[\s,.-]+(?:{_DIGIT}|dot|point)"
+
+
+def signs(space: str) -> str:
+    """What a text has that any transducer but the homoglyphs' changes: no narrower than they are. `space` is inside a class."""
+    gap, far = f"[{space}]", f"[{space},.-]{{1,3}}"
+    point = f"(?:(?:dot|point)[{space}-]{{1,3}})?"
+    return "|".join((
+        rf"[\[({{<]{gap}?(?:{AT_WORDS}|{DOT_WORDS}|[@.]){gap}?[\])}}>]",
+        # an address has a spelled dot, or a spelled at sign before a host with a dot
+        rf"{gap}{DOT_WORDS}{gap}", rf"{gap}{AT_WORDS}{gap}{{1,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9-]",
+        # a number has a digit word next to another number, a spelled dot, or a spelled sign
+        rf"{_DIGIT}{far}{point}(?:{_DIGIT}|[0-9])", rf"[0-9]{far}{point}{_DIGIT}", rf"[{space},.-](?:dot|point)[{space}-]", rf"plus[{space}-]{{1,3}}(?:{_DIGIT}|[0-9])",
+    ))
+
+
+SIGNS = re.compile(signs(r"\s"), re.I)
+#: The same for whole Arrow batches, with what the plain detectors and the homoglyphs need; white space as Python's.
+BATCH_SIGNS = "(?i)[0-9@" + re.escape("".join(homoglyphs())).replace("\\-", "\\x{2D}") + "]|" + signs(r"\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}")
 
 
 def _number(m: re.Match) -> str | None:
-    """A run of six spelled digits or more, or numbers with three spelled dots, as digits; a leading `plus` as its sign."""
+    """A run with a spelled digit, dot or sign as digits, whatever its length: the detectors decide; a leading `plus` as its sign."""
     words = _WORDS.findall(m.group())
-    if sum(w.lower() in DIGITS for w in words) < 6 and sum(w.lower() in ("dot", "point") for w in words) != 3:
+    if all(w[0] in "0123456789" for w in words):
         return None
     return "".join(DIGITS.get(w.lower(), {"dot": ".", "point": ".", "plus": "+"}.get(w.lower(), w)) for w in words)
 
 
 def _spoken(m: re.Match) -> str | None:
     join = lambda s: re.sub(rf"\s+{DOT_WORDS}\s+", ".", s, flags=re.I)
-    host = join(m["host"])
-    plain = f"{join(m['local'])}@{host}"
-    return plain if plain != m.group() and host.rsplit(".", 1)[1].lower() in DOMAINS else None
+    host, local = join(m["host"]), join(m["local"])
+    plain = f"{local}@{host}"
+    if plain == m.group() or host.rsplit(".", 1)[1].lower() not in DOMAINS:
+        return None
+    # "look at example.com" is prose: a bare word before a host that is spelled out in no part is no name
+    return plain if host != m["host"] or "@" in m.group() or not local.isalpha() else None
 
 
 TRANSDUCERS = (
