@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, curriculum, decontaminate, deobfuscate, embedding_join, language, lattice, ngram_join, quality, suffix_trees
+from wardline.llm import chat, curriculum, decontaminate, deobfuscate, embedding_join, exact_copies, language, lattice, ngram_join, quality, suffix_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": embedding_join.op1_embedding_neardup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_latent_leaks": decontaminate.op8_latent_leaks,
     "op9_weak_quality": quality.op9_weak_quality,
     "op10_chat_parts": chat.op10_chat_parts,
+    "op11_exact_dedup": exact_copies.op11_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op5_ngram_join": ngram_join.OP5_SQL,
     "op6_curriculum_mix": curriculum.OP6_SQL,
     "op10_chat_parts": chat.OP10_SQL,
+    "op11_exact_dedup": exact_copies.OP11_SQL,
 }
