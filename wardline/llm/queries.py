@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import chat, curriculum, decontaminate, deobfuscate, embedding_join, exact_copies, language, lattice, ngram_join, periodic_runs, quality, suffix_trees
+from wardline.llm import chat, curriculum, decontaminate, deobfuscate, embedding_join, exact_copies, language, lattice, ngram_join, periodic_runs, quality, spelling, suffix_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_neardup": embedding_join.op1_embedding_neardup,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_parts": chat.op10_chat_parts,
     "op11_exact_dedup": exact_copies.op11_exact_dedup,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
