@@ -379,3 +379,61 @@ def test_short_leaks(spark: SparkSession) -> None:
     words = decontaminate.words_of([t for _, t in items])
     want = {(d, items[i][0]) for d, t in enumerate(texts) for i, w in enumerate(words) if any(t[a : a + len(w)] == w for a in range(len(t) - len(w) + 1))}
     assert len(want) >= 121 and want <= got
+
+
+def test_blocks_of_items(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """A benchmark of several blocks gives what one block gives, whatever the columns of the documents."""
+    rng, rows = random.Random(15), []
+    items = [(k, prose(11_000 + k, rng.randint(10, 45))) for k in range(60)]
+    for k in range(60):
+        own = prose(31_000 + k, 150).split()
+        at = rng.randrange(len(own))
+        rows.append((k, " ".join([*own[:at], items[k][1], *own[at:]]) if k % 3 else prose(k, 90), "en", "a"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    seen = lambda: sorted((r["doc_id"], r["m"]["item_id"], r["m"]["lcs"]) for r in decontaminate.matched(make_docs(spark, rows), benchmark).select("doc_id", F.explode("matches").alias("m")).collect())
+    one = seen()
+    monkeypatch.setattr(decontaminate, "ITEMS", 20)
+    assert seen() == one and len(one) >= 40
+
+
+def test_paraphrases_against_all_pairs(spark: SparkSession) -> None:
+    """Paraphrased items, a quarter of the words changed: recall against the longest common subsequence with every window of every text."""
+    rng, rows = random.Random(21), []
+    items = [(k, prose(41_000 + k, rng.randint(20, 40))) for k in range(40)]
+    for k in range(40):
+        words, own = items[k][1].split(), prose(51_000 + k, 120).split()
+        for at in rng.sample(range(len(words)), len(words) // 4):
+            words[at] = f"other{at}"
+        at = rng.randrange(len(own))
+        rows.append((k, " ".join([*own[:at], *words, *own[at:]]), "en", "a"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item"]) for r in decontaminate.matched(make_docs(spark, rows), benchmark).select("doc_id", F.explode("matches.item_id").alias("item")).collect()}
+    texts, words, want = decontaminate.words_of([r[1] for r in rows]), decontaminate.words_of([t for _, t in items]), set()
+    for d, text in enumerate(texts):
+        for i, w in enumerate(words):
+            masks = decontaminate.masks_of(w)
+            # windows as long as the item and a block on either side: what the check reads at least
+            if any(decontaminate.common(masks, len(w), text[a : a + len(w) + 16]) >= decontaminate.SURE * len(w) for a in range(0, len(text), 4)):
+                want.add((d, i))
+    assert len(want) >= 40 and len(want & got) >= 0.9 * len(want)
+
+
+def test_short_items_remove_nothing(spark: SparkSession) -> None:
+    benchmark = spark.createDataFrame([(1, "the"), (2, ""), (3, None), (4, prose(61_000, 30)), (5, "über naïve ça été où là déjà señor")], "item_id long, text string")
+    rows = [(k, prose(62_000 + k, 60) + (" " + prose(61_000, 30) if k == 3 else ""), "en", "a") for k in range(6)] + [(9, "x über naïve ça été où là déjà señor y", "fr", "a"), (10, None, None, None)]
+    docs = make_docs(spark, rows)
+    left = decontaminate.without_leaks(docs, benchmark)
+    assert left.columns == docs.columns
+    assert {r["doc_id"] for r in left.collect()} == {0, 1, 2, 4, 5, 10}
+    said = {r[0] for r, w in zip(rows, decontaminate.words_of([r[1] for r in rows]), strict=True) if decontaminate.words_of(["the"])[0][0] in w}
+    found = decontaminate.matched(docs, benchmark).where(F.exists("matches", lambda m: m["item_id"] == 1))
+    assert {r["doc_id"] for r in found.collect()} == said and said
+
+
+def test_orthonormal() -> None:
+    basis = np.random.default_rng(1).standard_normal((decontaminate.SLICE * 2, 12), np.float32) * np.logspace(0, 4, 12, dtype=np.float32)
+    basis[:, 3] = basis[:, 4]
+    decontaminate.orthonormal(basis)
+    gram = basis.T.astype(float) @ basis
+    kept = np.diag(gram) > 0.5
+    assert kept.sum() == 11 and np.abs(gram - np.diag(kept.astype(float))).max() < 1e-4
