@@ -44,17 +44,96 @@ def test_ngram_join(spark: SparkSession, awkward: list[tuple], hot: int, crowd:
     rows = list(awkward) + [(100 + 50 * f + k, t, "en", "z") for f in range(4) for k, t in enumerate(family(f, 12))]
     # short texts of one very common line and a few words of their own
     rows += [(500 + k, "this line is part of every page here " + prose(900 + k, 8), "en", "z") for k in range(40)]
+    check_join(ngram_join.join(make_docs(spark, rows)).collect(), rows)
+
+
+def wanted_components(rows: list[tuple]) -> tuple[list[frozenset], list[int]]:
+    """Sets of all rows, and for each row the first one reachable; rows are nodes, whatever their ids."""
+    sets = [shingles(t) for _, t, *_ in rows]
+    links = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    root = closure(list(range(len(rows))), links)
+    return sets, [root[k] for k in range(len(rows))]
+
+
+def check_join(got: list, rows: list[tuple]) -> None:
+    sets, root = wanted_components(rows)
+    least = {r: min((rows[k][0] for k in range(len(rows)) if root[k] == r and rows[k][0] is not None), default=None) for r in root}
+    want = sorted(((rows[k][0], len(sets[k]), least[root[k]] if sets[k] else rows[k][0]) for k in range(len(rows))), key=str)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
+
+
+def changed(text: str, *places: int) -> str:
+    words = text.split()
+    for k in places:
+        words[k] = f"other{k}"
+    return " ".join(words)
+
+
+def id_cases() -> list[tuple]:
+    a, b, c = prose(81, 60), prose(82, 60), prose(83, 60)
+    # 1 ~ null ~ 2: the null row bridges, its ends are below the threshold
+    rows = [(1, changed(a, 0), "en", "z"), (None, a, "en", "z"), (2, changed(a, 59), "en", "z")]
+    middle = changed(prose(84, 60), 3)
+    rows += [(11, changed(middle, 20), "en", "z"), (None, middle, "en", "z"), (None, middle, "en", "z"), (12, changed(middle, 50), "en", "z")]
+    # two different texts with one id, each with a near copy; a repeated id whose other text is unique
+    rows += [(21, b, "en", "z"), (21, c, "en", "z"), (22, changed(b, 59), "en", "z"), (23, changed(c, 59), "en", "z"), (24, changed(b, 0), "en", "z"), (24, prose(85, 60), "en", "z")]
+    # near copies without any id, equal rows, rows without words
+    d = prose(86, 60)
+    rows += [(None, d, "en", "z"), (None, changed(d, 59), "en", "z"), (31, d, "en", "z"), (31, d, "en", "z"), (None, prose(87, 60), "en", "z"), (None, changed(prose(87, 60), 1), "en", "z")]
+    return rows + [(41, "", "en", "z"), (41, "", "en", "z"), (41, " ", "en", "z"), (None, None, "en", "z"), (42, None, "en", "z")]
+
+
+@pytest.mark.parametrize(("hot", "crowd", "few"), [(50_000, 32, 500_000), (3, 2, 0)])
+def test_ngram_join_ids(spark: SparkSession, hot: int, crowd: int, few: int, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Null ids bridge, repeated ids with different texts are nodes of their own."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "BROADCAST_REQUESTS", few)
+    rows = id_cases()
     got = ngram_join.join(make_docs(spark, rows)).collect()
-    sets = {(i, t): shingles(t) for i, t, *_ in rows}
-    keyed = [(i, t) for i, t in sets if i is not None]
-    links = {(a[0], b[0]) for a in keyed for b in keyed if a[0] < b[0] and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    root = closure(sorted({i for i, _ in keyed}), links)
-    assert len(got) == len(rows)
-    for r in got:
-        if r["doc_id"] is not None:
-            assert r["component_id"] == root[r["doc_id"]], r
-            assert r["n_shingles"] == len(sets[next(k for k in keyed if k[0] == r["doc_id"])])
-    assert sorted((r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is None) == sorted([(len(shingles(awkward[0][1])), root[0]), (0, None)], key=str)
+    check_join(got, rows)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] in (1, 2, 11, 12, 22, 23)} == {1: 1, 2: 1, 11: 11, 12: 11, 22: 21, 23: 21}
+
+
+def test_one_of_each(spark: SparkSession) -> None:
+    rows = id_cases() + [(k, prose(700 + k, 50), "en", "z") for k in range(60, 70)]
+    docs = make_docs(spark, rows)
+    got = ngram_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    sets, root = wanted_components(rows)
+    at = {(i, t): k for k, (i, t, *_) in enumerate(rows)}
+    # one of each group, of least id where there is one
+    kept = sorted(root[at[x]] for x in left if sets[at[x]])
+    assert kept == sorted({r for k, r in enumerate(root) if sets[k]})
+    for i, t in left:
+        if sets[at[i, t]]:
+            ids = [rows[k][0] for k in range(len(rows)) if root[k] == root[at[i, t]] and rows[k][0] is not None]
+            assert i == min(ids, default=None)
+    assert sorted(((i, t) for i, t in left if not shingles(t)), key=str) == sorted({(i, t) for i, t, *_ in rows if not shingles(t)}, key=str)
+
+
+def test_shared_streams() -> None:
+    """Runs cut anywhere into batches give what one batch gives."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted((rng.randint(0, 40), rng.randint(1, 3), rng.randint(0, 4), rng.randint(1, 4), 2 if k % 7 == 0 else 1) for k in range(200))
+    rows += [(t, 1, 1, 1, 1) for t in range(50, 60)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int64()), pa.array([r[1] << 24 | r[4] << 8 | r[3] for r in part], pa.int64())], names=["token", "h", "meta"])
+    seen = lambda parts: sorted(tuple(x.values()) for b in ngram_join._shared(iter(parts)) for x in b.to_pylist())
+    whole = seen([batch(rows)])
+    distinct = {}
+    for t, n, h, l, s in rows:
+        distinct.setdefault((t, n, h), (l, s))
+    by = Counter(t for t, *_ in distinct)
+    leads = {}
+    for t, n, h in sorted(distinct):
+        leads.setdefault(t, (h, n))
+    assert {(t, h, n) for t, h, n, *_ in whole} == {(t, h, n) for (t, n, h), (_, s) in distinct.items() if by[t] > 1 or s > 1}
+    assert all(leads[t] == (lh, ln) for t, _, _, _, lh, ln in whole)
+    for size in (1, 2, 3, 7):
+        assert seen([batch(rows[a : a + size]) for a in range(0, len(rows), size)]) == whole
 
 
 def test_ngram_join_stars(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
@@ -123,6 +202,13 @@ def test_embedding_join(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) ->
         rows += [(centre + rng.standard_normal(24) * s).astype(np.float32).tolist() for s in rng.choice([0.0, 0.2, 0.35, 0.6], 25)]
     rows += [rng.standard_normal(24).astype(np.float32).tolist() for _ in range(100)]
     table = [(k, r) for k, r in enumerate(rows)] + [(900, None), (901, [0.0] * 24), (902, [float("nan")] * 24), (903, [1.0] + [None] * 23), (904, [float("inf")] * 24), (905, []), (906, [1.0, 2.0]), (907, [2.0, 4.0]), (5, rows[5]), (None, rows[6]), (None, rows[130])]
+    # one id for two vectors, each with a near copy of its own; a null id that ties two others together
+    tie = rng.standard_normal(24)
+    turn = lambda x, angle: math.cos(angle) * x / np.linalg.norm(x) + math.sin(angle) * np.roll(np.eye(24)[0], 5)
+    tie = tie - tie[5] * np.eye(24)[5]
+    table += [(950, rng.standard_normal(24).astype(np.float32).tolist()), (950, rng.standard_normal(24).astype(np.float32).tolist())]
+    table += [(951, [x + 0.01 for x in table[-2][1]]), (952, [x + 0.01 for x in table[-1][1]])]
+    table += [(960, turn(tie, -0.4).tolist()), (None, turn(tie, 0.0).tolist()), (961, turn(tie, 0.4).tolist()), (None, turn(rng.standard_normal(24), 0.1).tolist())]
     got = embedding_join.near_duplicates(spark.createDataFrame([(i, v, 7, "x") for i, v in table], "vec_id long, embedding array<float>, label int, cell string"))
     fine = [(k, i, np.array(v, float)) for k, (i, v) in enumerate(table) if v and None not in v and np.isfinite(v).all() and any(v)]
     cos = lambda x, y: len(x) == len(y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= 0.9
@@ -137,7 +223,9 @@ def test_embedding_join(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) ->
         members = [x for x in ids[root[k]] if x is not None] if k in root else [i]
         low = min(members) if members else None
         want.append((i, sum(a == k for a, _ in pairs), low, i is not None and i == low))
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    got = got.collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert [r["n_links"] for r in got if r["vec_id"] == 950] == [1, 1] and {r["component_id"] for r in got if r["vec_id"] in (960, 961)} == {960}
 
 
 def test_cells_are_complete() -> None:

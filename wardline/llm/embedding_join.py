@@ -14,8 +14,9 @@ links come out per vector, and for components one edge per visitor and chunk, ne
 copies is quadratic by definition of n_links, as batched matrix products.
 
 Nulls and edges: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
-length never link; every row is a vector of its own, repeated rows link with each other; a row with null vec_id has links, too, and
-component_id of its class, null if it has no other row; extra columns are not read; an empty table gives no row.
+length never link; every row is a vector of its own, also where a vec_id repeats with another vector: classes are numbered, ids are
+labels carried along. Repeated rows link with each other; a row with null vec_id links and bridges like others, its component_id is
+the least id reachable, null if there is none; extra columns are not read; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -34,8 +35,6 @@ COSINE = 0.9
 BLOCK, CELL, SAMPLE = 8, 32_768, 20_000
 UNIT = float(1 << 20)
 VISITORS, LEAF, PAIRS = 1024, 512, 50_000
-#: Given ids are below this number.
-NO_ID = 1 << 62
 Batches = Iterator[pa.RecordBatch]
 Node = tuple[int, float] | None
 
@@ -245,7 +244,7 @@ def _probe(dims: int, cosine: float) -> Callable[[Batches], Batches]:
 def _links(vectors: DataFrame, dims: int, rows: int, cosine: float) -> DataFrame:
     """(kind, a, b): kind 0 has a's number of linked vectors in b, kind 1 is an edge; for vectors (id, copies, v) of one length."""
     spark = vectors.sparkSession
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
+    sample = vectors.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").toPandas()["v"]
     q = rounded(units(np.array(sample.tolist())), rotation(dims))
     depth = max(0, math.ceil(math.log2(max(1, rows / CELL))))
     trees = [grow(q[:, b], depth) for b in blocks(dims)]
@@ -265,9 +264,9 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, embedding) to (vec_id, n_links, component_id, kept)."""
     fine = F.coalesce((F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, F.col("embedding")).alias("v"))
-    # a class whose rows all lack vec_id gets an id above all given ones; it is never shown
     classes = rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    classes = cut(classes.withColumn("id", F.coalesce("least", F.xxhash64("v").bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))), "embedding-classes")
+    # written, so that the numbers hold
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), "embedding-classes")
     links = None
     for dims, n in classes.groupBy(F.size("v")).count().collect():
         some = _links(classes.where(F.size("v") == dims), dims, n, cosine)
@@ -278,7 +277,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     counts = links.where("kind = 0").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("links"))
     comps = components(links.where("kind = 1").select("a", "b"), "embedding")
     known = classes.join(counts, "id", "left").join(comps, "id", "left")
-    known = known.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.expr(f"if(component >= {NO_ID}, null, coalesce(component, least))").alias("component"))
+    known = cut(known.select("v", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "id").alias("group")), "embedding-known")
+    known = known.join(known.groupBy("group").agg(F.min("least").alias("component")), "group").drop("group", "least")
     out = rows.join(known, "v", "left")
     component = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -16,9 +16,13 @@ Steps:
    fewer classes give pairs between components, which are verified if they share enough prefix shingles for their sizes. No pair that could
    join components is skipped, and no crowd is ever written out as pairs.
 
+A class is known by its set (size and fingerprint) and a number of its own, never by a doc_id: ids are labels, carried along for the
+result. The text of a class is that of its least text hash, fetched once for each class however many rows hold it.
+
 Nulls and edges: null or empty text, or text without words, is an empty set and links with nothing; fewer words than a shingle
-are one shingle; equal rows are in one class; rows with null doc_id get the component of their class, null if it has no other
-row; extra columns are not read; an empty table gives no row.
+are one shingle; equal rows are in one class; rows of null doc_id link and bridge like all others, their component is the least id
+reachable, null if there is none; rows that repeat a doc_id with other texts are nodes of their own; extra columns are not read; an
+empty table gives no row.
 """
 
 from __future__ import annotations
@@ -31,16 +35,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardline.llm import textops
 from wardline.llm.components import components
-from wardline.llm.shared import cut, documents, partitions
+from wardline.llm.shared import cut, documents, drop, partitions
 
 SHINGLE, SIMILAR = 5, 80
 BUCKETS, SLICES = 1 << 19, 64
 MAX_MATCH, VERIFY_COST, HOT = 4, 20.0, 50_000
 #: Open shingles of more classes are compared as families; blocks of a verification hold about so many classes.
 CROWD, BLOCK, SPREAD = 32, 512, 16
-#: Requests for texts up to this number (about 30 MB) are broadcast against the documents; more are joined.
+#: Classes whose texts are wanted are broadcast against the documents up to this number (about 30 MB); more are joined.
 BROADCAST_REQUESTS = 500_000
-SIGNATURE = "doc_id long, n long, h long, h2 long, slice int, counts binary"
+SIGNATURE = "doc_id long, t1 long, t2 long, n long, h long, h2 long, slice int, counts binary"
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -58,16 +62,16 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def _signatures(n_words: int) -> Callable[[Batches], Batches]:
-    kinds = [("doc_id", pa.int64()), ("n", pa.int64()), ("h", pa.int64()), ("h2", pa.int64()), ("slice", pa.int32()), ("counts", pa.binary())]
+    kinds = [(c, pa.int64()) for c in ("doc_id", "t1", "t2", "n", "h", "h2")] + [("slice", pa.int32()), ("counts", pa.binary())]
 
     def run(batches: Batches) -> Batches:
         counts = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for chunk in textops.chunks(batch.column(1)):
+            keys, rows = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)), []
+            for chunk in textops.chunks(batch.column(3)):
                 seen = []
                 for k, s in enumerate(textops.shingle_sets(chunk, n_words)):
-                    rows.append((ids[chunk.first + k], len(s), *fingerprint(s)))
+                    rows.append((*keys[chunk.first + k], len(s), *fingerprint(s)))
                     seen.append(s)
                 counts += np.bincount((np.concatenate(seen) % np.uint64(BUCKETS)).view(np.int64), minlength=BUCKETS)
             if rows:
@@ -75,7 +79,7 @@ def _signatures(n_words: int) -> Callable[[Batches], Batches]:
         small, each = np.minimum(counts, 65_535).astype("<u2"), BUCKETS // SLICES
         if counts.any():
             nothing = [None] * SLICES
-            yield _batch(kinds, *[nothing] * 4, list(range(SLICES)), [small[k * each : (k + 1) * each].tobytes() for k in range(SLICES)])
+            yield _batch(kinds, *[nothing] * 6, list(range(SLICES)), [small[k * each : (k + 1) * each].tobytes() for k in range(SLICES)])
 
     return run
 
@@ -142,28 +146,43 @@ def _postings(counts_of: Callable[[], np.ndarray], n_words: int, similar: int) -
 
 
 def _shared(batches: Batches) -> Batches:
-    """Postings of one partition, whole shingles or slices of hot ones: those with company, each with its run's leader."""
-    columns = [[b.column(k).to_numpy() for k in range(3)] for b in batches if b.num_rows]
-    if not columns:
-        return
-    token, h, meta = (np.concatenate(c) for c in zip(*columns, strict=True))
-    del columns
-    n = meta >> 24
-    order = np.lexsort((h, n, token))
-    token, h, meta, n = token[order], h[order], meta[order], n[order]
-    fresh = np.ones(len(token), bool)
-    fresh[1:] = (token[1:] != token[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1])
-    token, h, meta, n = token[fresh], h[fresh], meta[fresh], n[fresh]
-    first = np.ones(len(token), bool)
-    first[1:] = token[1:] != token[:-1]
-    start = np.flatnonzero(first)
-    size = np.diff(np.append(start, len(token)))
-    lead, many = np.repeat(start, size), np.repeat(size, size) > 1
-    keep = np.flatnonzero(many | ((meta >> 8 & 65_535) > 1))
+    """Postings sorted by (token, n, h), whole shingles or slices of hot ones: those with company, each with its run's leader.
+
+    A run is one token's postings. It may go on in the next batch: its leader and last posting are carried over, and a first
+    posting that has no company yet waits for it.
+    """
     kinds = [(c, pa.int64()) for c in ("token", "h", "n", "l", "lead_h", "lead_n")]
-    for a in range(0, len(keep), 200_000):
-        k = keep[a : a + 200_000]
-        yield _batch(kinds, token[k], h[k], n[k], meta[k] & 255, h[lead[k]], n[lead[k]])
+    # token, n, h, l of the last posting; h and n of its run's leader; whether the leader still waits
+    last: tuple[int, int, int, int] | None = None
+    lead, waits = (0, 0), False
+    for batch in batches:
+        token, h, meta = (batch.column(k).to_numpy() for k in range(3))
+        if not len(token):
+            continue
+        n, l = meta >> 24, meta & 255  # noqa: E741
+        sliced = (meta >> 8 & 65_535) > 1
+        fresh = np.ones(len(token), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (h[1:] != h[:-1]) | (n[1:] != n[:-1])
+        fresh[0] = last is None or (int(token[0]), int(n[0]), int(h[0])) != last[:3]
+        token, h, n, l, sliced = (x[fresh] for x in (token, h, n, l, sliced))  # noqa: E741
+        if not len(token):
+            continue
+        goes_on = last is not None and int(token[0]) == last[0]
+        if goes_on and waits:
+            yield _batch(kinds, [last[0]], [last[2]], [last[1]], [last[3]], [lead[0]], [lead[1]])
+        first = np.ones(len(token), bool)
+        first[1:] = token[1:] != token[:-1]
+        first[0] = not goes_on
+        start = np.flatnonzero(first)
+        size = np.diff(np.append(start, len(token)))
+        head = int(start[0]) if len(start) else len(token)
+        lead_h, lead_n = (np.concatenate([np.full(head, x), np.repeat(y[start], size)]) for x, y in zip(lead, (h, n), strict=True))
+        company = np.concatenate([np.ones(head, bool), np.repeat(size, size) > 1]) | sliced
+        keep = np.flatnonzero(company)
+        if len(keep):
+            yield _batch(kinds, token[keep], h[keep], n[keep], l[keep], lead_h[keep], lead_n[keep])
+        last, lead = (int(token[-1]), int(n[-1]), int(h[-1]), int(l[-1])), (int(lead_h[-1]), int(lead_n[-1]))
+        waits = not company[-1]
 
 
 def sizes_fit(a: Column, b: Column, similar: int) -> Column:
@@ -219,14 +238,16 @@ def _verify(n_words: int, similar: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def with_texts(requests: DataFrame, docs: DataFrame) -> DataFrame:
-    """Requests (doc_id, ...) with the text; a broadcast of the requests where their number is small, else a join."""
-    few = requests.count() <= BROADCAST_REQUESTS
-    return docs.select("doc_id", "text").join(F.broadcast(requests) if few else requests, "doc_id")
+def with_texts(requests: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Requests (class_id, ...) with the text of their class; copies of a text are combined inside the tasks that read them."""
+    needed = cut(requests.select("class_id").distinct().join(classes.select("class_id", "t1", "t2"), "class_id"), "ngram-needed")
+    few = needed.count() <= BROADCAST_REQUESTS
+    texts = docs.select("t1", "t2", "text").join(F.broadcast(needed) if few else needed, ["t1", "t2"])
+    return requests.join(texts.groupBy("class_id").agg(F.first("text").alias("text")), "class_id")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n_words: int, similar: int) -> DataFrame:
-    """Of pairs (a, b) of doc ids those whose whole texts meet the threshold.
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, similar: int) -> DataFrame:
+    """Of pairs (a, b) of classes those whose whole texts meet the threshold.
 
     A block holds the sets of about BLOCK different a, and its pairs stream past with the text of b; the pairs of one a are spread
     over SPREAD blocks, so that no a makes a task of its own.
@@ -235,9 +256,9 @@ def verified(pairs: DataFrame, docs: DataFrame, n_words: int, similar: int) -> D
     pairs = cut(pairs, "ngram-pairs")
     blocks = max(1, -(-pairs.count() // BLOCK))
     keyed = pairs.select(F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("p"), F.pmod(F.xxhash64("b"), F.lit(SPREAD)).alias("q"), "a", "b")
-    heads = keyed.select("p", "q", F.lit(0).alias("kind"), "a", F.lit(None).cast("long").alias("b"), F.col("a").alias("doc_id")).distinct()
+    heads = keyed.select("p", "q", F.lit(0).alias("kind"), "a", F.lit(None).cast("long").alias("b"), F.col("a").alias("class_id")).distinct()
     requests = cut(heads.union(keyed.select("p", "q", F.lit(1), "a", "b", "b")), "ngram-requests")
-    rows = with_texts(requests, docs).select("p", "q", "kind", "a", "b", "text")
+    rows = with_texts(requests, classes, docs).select("p", "q", "kind", "a", "b", "text")
     rows = rows.repartition(partitions(spark), "p", "q").sortWithinPartitions("p", "q", "kind")
     return rows.mapInArrow(_verify(n_words, similar), "a long, b long")
 
@@ -267,7 +288,7 @@ def spanning(sets: list[np.ndarray], similar: int, columns: int = 4096) -> np.nd
 
 
 def _families(n_words: int, similar: int) -> Callable[[Batches], Batches]:
-    """Rows (family, p, q, doc_id, text) sorted so: one pair of blocks at a time."""
+    """Rows (family, p, q, class_id, text) sorted so: one pair of blocks at a time."""
     kinds = [("a", pa.int64()), ("b", pa.int64())]
 
     def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -292,29 +313,44 @@ def _families(n_words: int, similar: int) -> Callable[[Batches], Batches]:
     return run
 
 
-def family_links(families: DataFrame, docs: DataFrame, n_words: int, similar: int) -> DataFrame:
+def family_links(families: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, similar: int) -> DataFrame:
     """Spanning links of each family (class_id, family): every pair of its classes meets in some pair of its blocks."""
     sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
     own = families.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("n")).cast("int"))
     others = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda x: x != F.col("own")))
-    each = own.select(F.col("class_id").alias("doc_id"), "family", "own", F.explode(others).alias("other"))
-    requests = cut(each.select("doc_id", "family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")), "ngram-families")
-    rows = with_texts(requests, docs).select("family", "p", "q", "doc_id", "text")
+    each = own.select("class_id", "family", "own", F.explode(others).alias("other"))
+    requests = cut(each.select("class_id", "family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")), "ngram-families")
+    rows = with_texts(requests, classes, docs).select("family", "p", "q", "class_id", "text")
     rows = rows.repartition(partitions(docs.sparkSession), "family", "p", "q").sortWithinPartitions("family", "p", "q")
     return rows.mapInArrow(_families(n_words, similar), "a long, b long").where("a != b")
 
 
-def join(docs: DataFrame, n_words: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """Documents (doc_id, text) to (doc_id, n_shingles, class_id, component_id): links have 100*intersection >= similar*union."""
+def text_keys(docs: DataFrame) -> DataFrame:
+    """`docs` with t1 and t2, 128 bits of hash of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumn("t1", F.xxhash64(text)).withColumn("t2", F.xxhash64(F.concat(F.lit("#"), text)))
+
+
+def groups(docs: DataFrame, n_words: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """Documents (doc_id, text) to (doc_id, t1, t2, n_shingles, class_id, group, component_id), one row each.
+
+    `class_id` is the least id of the rows with the same set, `component_id` the least one reachable by links, 100 * intersection >=
+    similar * union. `group` numbers the components, whether they have an id or not; null for documents without words.
+    """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = cut(docs.mapInArrow(_signatures(n_words), SIGNATURE), "ngram-signatures")
+    docs = text_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    made = cut(docs.select("doc_id", "t1", "t2", "text").mapInArrow(_signatures(n_words), SIGNATURE), "ngram-signatures")
     counts = spark.sparkContext.broadcast(sketch(made))
-    signs = made.where("slice is null").select("doc_id", "n", "h", "h2")
-    classes = cut(signs.where("n > 0").groupBy("n", "h", "h2").agg(F.min("doc_id").alias("class_id")).where("class_id is not null"), "ngram-classes")
+    signs = made.where("slice is null").select("doc_id", "t1", "t2", "n", "h", "h2")
+    same = signs.where("n > 0").groupBy("n", "h", "h2").agg(F.min("doc_id").alias("label"), F.min("t1").alias("t1"), F.min_by("t2", "t1").alias("t2"))
+    # written, so that the numbers hold
+    classes = cut(same.withColumn("class_id", F.monotonically_increasing_id()), "ngram-classes")
     postings = docs.select("text").mapInArrow(_postings(lambda: counts.value, n_words, similar), "token long, h long, meta long")
     dealt = postings.repartition(partitions(spark), "token", F.expr("pmod(h, shiftright(meta, 8) & 65535)"))
+    # meta's upper bits are n
+    dealt = dealt.sortWithinPartitions("token", F.expr("shiftright(meta, 24)"), "h")
     raw = cut(dealt.mapInArrow(_shared, "token long, h long, n long, l long, lead_h long, lead_n long"), "ngram-shared")
+    counts.destroy()
     one = classes.select("n", "h", "class_id")
     led = raw.where("h != lead_h or n != lead_n").where(sizes_fit(F.col("n"), F.col("lead_n"), similar)).groupBy("h", "n", "lead_h", "lead_n").agg(F.count("*").alias("matches"))
     # a leader's matches may be spread over runs with other leaders: what is left out here comes back below
@@ -322,26 +358,60 @@ def join(docs: DataFrame, n_words: int = SHINGLE, similar: int = SIMILAR) -> Dat
     led = led.join(one, ["h", "n"]).withColumnRenamed("class_id", "x").drop("h", "n")
     led = led.join(one.select(F.col("h").alias("lead_h"), F.col("n").alias("lead_n"), F.col("class_id").alias("y")), ["lead_h", "lead_n"])
     ordered = lambda df: df.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = cut(verified(ordered(led), docs, n_words, similar), "ngram-links")
+    links = cut(verified(ordered(led), classes, docs, n_words, similar), "ngram-links")
     shared = cut(raw.join(one, ["h", "n"]).select("token", "n", "l", "class_id"), "ngram-postings")
+    drop(raw)
     comps = components(links, "ngram")
     known = shared.join(comps.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("c", F.coalesce("component", "class_id"))
     open_tokens = known.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.min("class_id").alias("first")).where("lo != hi")
     left = cut(known.join(open_tokens.select("token", "k", "first"), "token").select("token", "n", "l", "class_id", "c", "k", "first"), "ngram-open")
+    drop(shared)
     crowds = left.where(F.col("k") > CROWD).select(F.col("class_id").alias("a"), F.col("first").alias("b")).distinct()
     families = cut(components(crowds, "ngram-family").select(F.col("id").alias("class_id"), F.col("component").alias("family")), "ngram-family")
-    links = links.union(cut(family_links(families, docs, n_words, similar), "ngram-links"))
+    links = links.union(cut(family_links(families, classes, docs, n_words, similar), "ngram-links"))
     x = left.where(F.col("k") <= CROWD).join(families, "class_id", "left").select("token", "n", "l", "class_id", "c", "family")
     y = x.select("token", *(F.col(c).alias(f"{c}_y") for c in ("n", "l", "class_id", "c", "family")))
     both = x.join(y, "token").where("class_id < class_id_y and c != c_y and not coalesce(family = family_y, false)").where(sizes_fit(F.col("n"), F.col("n_y"), similar))
     both = both.groupBy("class_id", "class_id_y", "n", "n_y", "l", "l_y").agg(F.count("*").alias("matches")).where("matches >= least(l, l_y)")
     both = both.where(within_reach(F.col("matches"), (F.col("n"), F.col("n_y")), (F.col("l"), F.col("l_y")), similar))
     pairs = both.select(F.col("class_id").alias("a"), F.col("class_id_y").alias("b"))
-    links = links.union(cut(verified(pairs, docs, n_words, similar), "ngram-links"))
+    links = links.union(cut(verified(pairs, classes, docs, n_words, similar), "ngram-links"))
     comps = components(links, "ngram")
-    rows = signs.join(classes, ["n", "h", "h2"], "left").join(comps.withColumnRenamed("id", "class_id"), "class_id", "left")
-    class_id = F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), class_id.alias("class_id"), F.coalesce("component", class_id).alias("component_id"))
+    named = classes.join(comps.withColumnRenamed("id", "class_id"), "class_id", "left").select("n", "h", "h2", "label", F.coalesce("component", "class_id").alias("group"))
+    named = cut(named, "ngram-named")
+    least = named.groupBy("group").agg(F.min("label").alias("least"))
+    rows = signs.join(named.join(least, "group"), ["n", "h", "h2"], "left")
+    own = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias
+    return rows.select("doc_id", "t1", "t2", F.col("n").alias("n_shingles"), own("label")("class_id"), "group", own("least")("component_id"))
+
+
+def join(docs: DataFrame, n_words: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """Documents (doc_id, text) to (doc_id, n_shingles, class_id, component_id), one row each; see `groups`."""
+    return groups(docs, n_words, similar).select("doc_id", "n_shingles", "class_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, n_words: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """The rows of `docs`, with all columns, that stay: of each group the one of least id, null ids last, then of least text hash.
+
+    Documents without words are no one's copies, but of rows that repeat both id and text one stays.
+    """
+    rows = cut(groups(docs.select("doc_id", "text"), n_words, similar).select("doc_id", "t1", "t2", "group"), "ngram-groups")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2")
+    first = rows.where("group is not null").groupBy("group").agg(F.min(row).alias("row")).select("row.doc_id", "row.t1", "row.t2")
+    wordless = rows.where("group is null").select("doc_id", "t1", "t2").distinct()
+    keep = first.union(wordless).select(F.col("doc_id").alias("k"), F.col("t1").alias("k1"), F.col("t2").alias("k2"))
+    times = rows.groupBy("doc_id", "t1", "t2").agg(F.count("*").alias("times")).where("times > 1").select(F.col("doc_id").alias("r"), F.col("t1").alias("r1"), F.col("t2").alias("r2"))
+    repeated = cut(times, "ngram-repeated")
+    # rows equal in id and text go through one more step; where there are none, no text is shuffled for them
+    some = not repeated.isEmpty()
+    own = text_keys(docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc", "doc_id", "t1", "t2")
+    kept = own.join(cut(keep, "ngram-keep"), F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")), "left_semi")
+    if not some:
+        return kept.select("doc.*")
+    again = F.col("doc_id").eqNullSafe(F.col("r")) & (F.col("t1") == F.col("r1")) & (F.col("t2") == F.col("r2"))
+    kept = cut(kept, "ngram-kept")
+    twice = kept.join(repeated, again, "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
+    return kept.join(repeated, again, "left_anti").union(twice).select("doc.*")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
