@@ -22,17 +22,17 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of least id; documents without words are no one's copies."""
-    groups = ngram_join.join(docs.select("doc_id", "text")).where("n_shingles > 0 and doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    rest = docs.join(cut(groups, "pipeline-copies"), "doc_id", "left_anti")
-    # rows that repeat a kept id are copies as well
-    return rest.select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    """One row of each group of near copies, the one of least id, rows without an id after all others; documents without words are no one's copies.
+
+    Rows are told apart by id and text: null ids are copies like others, and a unique text stays though its id repeats. Of rows that
+    repeat both, one stays.
+    """
+    return ngram_join.one_of_each(docs)
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    found = decontaminate.matched(docs, table(spark, sf_dir, "benchmark"), "_matches")
-    return found.where(F.size("_matches") == 0).select(*docs.columns)
+    """Documents without a passage of the benchmark; items of fewer than `decontaminate.LEAST_REMOVED` words remove none."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
