@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardline.llm import textops
 from wardline.llm.components import components
-from wardline.llm.shared import cut, documents, drop, partitions
+from wardline.llm.shared import cut, documents, drop, partitions, small_batches
 
 SHINGLE, SIMILAR = 5, 80
 BUCKETS, SLICES = 1 << 19, 64
@@ -338,6 +338,7 @@ def groups(docs: DataFrame, n_words: int = SHINGLE, similar: int = SIMILAR) -> D
     similar * union. `group` numbers the components, whether they have an id or not; null for documents without words.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = text_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     made = cut(docs.select("doc_id", "t1", "t2", "text").mapInArrow(_signatures(n_words), SIGNATURE), "ngram-signatures")
     counts = spark.sparkContext.broadcast(sketch(made))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.llm import textops
-from wardline.llm.shared import append, documents, table
+from wardline.llm.shared import append, documents, small_batches, table
 
 FIT_ROWS = 10_000
 #: Labelled documents that the mined dictionary is taken from; how often and how much more often toxic ones hold an entry.
@@ -266,6 +266,7 @@ class Model(NamedTuple):
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, rows: int = FIT_ROWS) -> Model:
     """From all documents' votes, and from the features of about `rows` documents; `labels` (doc_id, toxic) feed one labeller."""
+    small_batches(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     mined = mine(texts, labels) if labels is not None else np.zeros(0, np.uint64)
     counted = texts.select("text").mapInArrow(_count_patterns(mined), "fault string, pattern long, n long").groupBy("fault", "pattern").agg(F.sum("n").alias("n")).orderBy("fault", "pattern").collect()

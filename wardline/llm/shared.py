@@ -53,8 +53,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Most rows of texts in an Arrow batch; the JVM and the worker each hold a batch or two.
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches for tables of long texts; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def append(df: DataFrame, schema: str, columns: Callable[[pa.RecordBatch], list[pa.Array]], rows: int = 1000) -> DataFrame:
     """`df` with columns that a function of an Arrow batch gives, `rows` rows at a time; a column of the same name is replaced."""
+    small_batches(df.sparkSession)
     new = StructType.fromDDL(schema)
     df = df.select(*(c for c in df.columns if c not in new.names))
     names = [*df.columns, *new.names]
