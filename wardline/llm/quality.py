@@ -6,7 +6,7 @@ language. Two toxic labellers read a dictionary of word beginnings that toxic on
 prefer, where labels are given; all others need no labels. A vote says bad or good; on texts too short for it a labeller abstains,
 which is no evidence. The votes of all documents are counted by vote pattern with map-side combination; the patterns' number is
 bounded by three to the number of labellers, and EM over their counts, one class for each kind of fault, gives every pattern's posterior. A logistic scorer per fault, over hashed words and hashed statistics, then learns the posteriors on a bounded sample of documents
-(FIT_ROWS, chosen by a hash of the id) and scores every whole text. A document is kept if neither fault is more likely than not.
+(FIT_ROWS, chosen by a hash of id and text, each pair once) and scores every whole text. A document is kept if neither fault is more likely than not.
 
 Passes over the texts are row by row without a shuffle.
 
@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.llm import textops
-from wardline.llm.shared import append, documents, small_batches, table
+from wardline.llm.shared import append, documents, release, small_batches, table
 
 FIT_ROWS = 10_000
+#: Entries of the sample that the training reads at a time.
+ENTRIES = 1 << 19
 #: Labelled documents that the mined dictionary is taken from; how often and how much more often toxic ones hold an entry.
 LABELLED_ROWS, MINED_DOCUMENTS, MINED_LIFT, MINED_ENTRIES = 8_000, 8, 10.0, 5_000
 #: Bytes of a word's beginning in the mined dictionary.
@@ -189,12 +191,16 @@ def features(t: Texts, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(row: np.ndarray, feature: np.ndarray, target: np.ndarray, rounds: int = 100, ridge: float = 2e-6) -> np.ndarray:
-    """Logistic weights for soft targets; Adam over the whole sample. Rare words hold little weight by the ridge."""
+    """Logistic weights for soft targets; Adam over the whole sample, ENTRIES at a time. Rare words hold little weight by the ridge."""
     w, m, s = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES)
+    parts = [slice(a, a + ENTRIES) for a in range(0, len(row), ENTRIES)]
     for k in range(1, rounds + 1):
-        z = np.bincount(row, w[feature], minlength=len(target))
-        error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        g = np.bincount(feature, error[row], minlength=FEATURES) / len(target) + ridge * w
+        z, g = np.zeros(len(target)), ridge * w
+        for p in parts:
+            z += np.bincount(row[p], w[feature[p]], minlength=len(target))
+        error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) / max(1, len(target))
+        for p in parts:
+            g += np.bincount(feature[p], error[row[p]], minlength=FEATURES)
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         w = w - 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(s / (1 - 0.99**k)) + 1e-7)
     return w
@@ -214,14 +220,14 @@ def _count_patterns(mined: np.ndarray) -> Callable[[Batches], Batches]:
 def _sample_features(mined: np.ndarray) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            for chunk in textops.chunks(batch.column(0)):
+            for chunk in textops.chunks(batch.column(1)):
                 rows, t = len(chunk.offsets) - 1, measure(chunk, mined)
-                v = votes(t.stats)
+                v, pick = votes(t.stats), batch.column(0).slice(chunk.first, rows)
                 row, feature = features(t, rows)
                 order = np.argsort(row, kind="stable")
                 edge = np.searchsorted(row[order], np.arange(rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(feature[order].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(pattern(v[FORM])), pa.array(pattern(v[TOXIC])), lists], names=[FORM, TOXIC, "features"])
+                yield pa.RecordBatch.from_arrays([pick, pa.array(pattern(v[FORM])), pa.array(pattern(v[TOXIC])), lists], names=["pick", FORM, TOXIC, "features"])
 
     return run
 
@@ -278,15 +284,22 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, rows: int = FIT_ROWS)
             posterior[fault][p] = posteriors(p, c.astype(float), KINDS[fault])
     total = sum(r["n"] for r in counted if r["fault"] == FORM)
     share = min(1.0, rows / max(1, total))
-    chosen = texts.where(F.expr(f"pmod(xxhash64(doc_id, 9), 1000003) < {share * 1_000_003}")).select("text")
-    sample = chosen.mapInArrow(_sample_features(mined), f"{FORM} long, {TOXIC} long, features array<int>").toArrow()
+    # by id and text, each pair once: no id or text, however often repeated, fills the sample
+    pick = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    chosen = texts.select(pick.alias("pick"), "text").where(F.pmod("pick", F.lit(1_000_003)) < share * 1_000_003)
+    chosen = chosen.mapInArrow(_sample_features(mined), f"pick long, {FORM} long, {TOXIC} long, features array<int>")
+    once = chosen.groupBy("pick").agg(*(F.first(c).alias(c) for c in (FORM, TOXIC, "features")))
+    sample = once.orderBy("pick").limit(rows + rows // 4).drop("pick").toArrow()
     weights = {fault: np.zeros(FEATURES) for fault in LABELLERS}
     if sample.num_rows:
         lists = sample.column("features").combine_chunks()
         feature, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-        row = np.repeat(np.arange(sample.num_rows), size)
+        row = np.repeat(np.arange(sample.num_rows, dtype=np.int32), size)
         for fault in LABELLERS:
             weights[fault] = train(row, feature, posterior[fault][sample.column(fault).to_numpy()])
+        del lists, feature, row
+    del sample
+    release()
     return Model(posterior, weights, mined)
 
 
