@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
+from pyspark.errors import utils
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -31,15 +33,33 @@ def look_up(values: Mapping[str, object], key: Column, default: object = None) -
     return first_match([(key == name, F.lit(value)) for name, value in values.items()], F.lit(default))
 
 
-def fence(df: DataFrame) -> DataFrame:
-    """Keep later filters and projections from being copied into a long chain of expressions.
+def fence(df: DataFrame, inputs: Sequence[str] = ()) -> DataFrame:
+    """Keep later filters and projections from being copied into a long chain of derived columns.
 
-    Catalyst pushes a filter through projections by writing every alias out, which multiplies a
-    long derivation many times over.  A column that depends on the partition id stops that; it
-    costs one comparison per column and moves no data.
+    Catalyst pushes a filter through projections by writing every alias out, which multiplies a long derivation many times over.
+    Derived columns are therefore packed and unpacked by a generator, which is as far as conditions on them are pushed. Columns
+    named in ``inputs`` are handed through untouched: conditions on them reach the scan, also through several fences.
     """
-    here = F.spark_partition_id() >= 0
-    return df.select(*[F.when(here, F.col(c)).alias(c) for c in df.columns])
+    inputs = [c for c in df.columns if c in inputs]
+    derived = [c for c in df.columns if c not in inputs]
+    if not derived:
+        return df
+    return df.select(*inputs, F.inline_outer(F.array(F.struct(*derived))))
+
+
+@contextmanager
+def plain_expressions() -> Iterator[None]:
+    """Build expressions without recording a call site for each.
+
+    With debugging on (``spark.python.sql.dataFrameDebugging.enabled``, the default) every function call asks the JVM several times; a
+    flow of thousands of expressions then takes most of its planning for that. The user's own calls keep their call sites.
+    """
+    before = getattr(utils, "_enable_debugging_cache", None)
+    utils._enable_debugging_cache = False
+    try:
+        yield
+    finally:
+        utils._enable_debugging_cache = before
 
 
 def one_of(col: Column, values: Sequence[str]) -> Column:

@@ -217,7 +217,7 @@ def invariant_rules(df: DataFrame) -> list[tuple[Column, str]]:
 
 def with_violations(df: DataFrame, out: str = "violations") -> DataFrame:
     found = labels_where([(F.coalesce(cond, F.lit(False)), name) for cond, name in invariant_rules(df)])
-    return fence(df.withColumn(out, found))
+    return fence(df.withColumn(out, found), df.columns)
 
 
 def check_invariants(df: DataFrame) -> DataFrame:
