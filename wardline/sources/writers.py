@@ -1,9 +1,11 @@
-"""Sinks: audit table, reports, CSV, reference embeddings."""
+"""Sinks: audit table, batches of streams, reports, CSV, reference embeddings."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wardline.functions import hooks
 
@@ -16,31 +18,38 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def write_audit(df: DataFrame, path: str) -> None:
-    """Insert once per request id: first copy wins, stored ids are skipped; partitioned by date.
+def write_batch(df: DataFrame, path: str, batch: object, *partition: str) -> DataFrame:
+    """Write one batch as a folder of its own, replacing what an earlier attempt left of it; returns the batch as written.
 
-    The append is one job commit, so a repeated or retried batch adds nothing twice.
+    A replayed batch writes the same folder again, so nothing is added twice and no history is read: the folder is all that is
+    listed or opened.
     """
-    new = df.dropDuplicates(["request_id"])
-    stored = read_or_none(df.sparkSession, path)
-    if stored is not None:
-        new = new.join(stored.select("request_id"), "request_id", "left_anti")
-    dated = new.withColumn("date", F.to_date("ts"))
-    dated.write.mode("append").partitionBy("date").parquet(path)
+    folder = f"{path.rstrip('/')}/batch={batch}"
+    df.write.mode("overwrite").partitionBy(*partition).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).option("basePath", folder).parquet(folder).select(*df.columns)
+
 
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of a sink as one table."""
+    return spark.read.parquet(path).drop("batch")
 
-def write_rejected(df: DataFrame, path: str) -> None:
-    """Append rejected rows with their violations; rows that are stored already are skipped."""
-    named = df.withColumn("row_sha256", F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256))
-    new = named.dropDuplicates(["row_sha256"])
-    stored = read_or_none(df.sparkSession, path)
+
+def write_audit(df: DataFrame, path: str, batch: object | None = None) -> DataFrame:
+    """Insert once per request id: first copy wins; one folder per batch, partitioned by date. Returns the rows written.
+
+    A caller that numbers its batches and sends no id twice (the stream does both) names the ``batch``: then no stored row is
+    read. Without a name, ids that are stored already are skipped, for which the stored ids, and no other column, are read.
+    """
+    new = df.dropDuplicates(["request_id"]) if batch is None else df
+    stored = read_or_none(df.sparkSession, path) if batch is None else None
     if stored is not None:
-        new = new.join(stored.select("row_sha256"), "row_sha256", "left_anti")
-    new.write.mode("append").parquet(path)
+        new = new.join(stored.select("request_id"), "request_id", "left_anti")
+    return write_batch(new.withColumn("date", F.to_date("ts")), path, f"insert-{uuid.uuid4().hex}" if batch is None else batch, "date")
 
 
-def write_reviews(new_reviews: DataFrame, path: str) -> None:
-    new_reviews.write.mode("append").parquet(path)
+def row_digest(df: DataFrame) -> Column:
+    """A digest of a whole row, nulls included."""
+    return F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
 
 
 def audit_export_view(df: DataFrame) -> DataFrame:
