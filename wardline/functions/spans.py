@@ -1,9 +1,8 @@
 """Character spans of pattern matches as native expressions.
 
-A text is cut by the pattern (``split``) and the matches are collected
-(``regexp_extract_all``); the running length of cuts and matches gives every
-offset.  Nothing leaves the JVM and no row is multiplied: a row carries its
-spans as an array until somebody asks for the long table.
+Matches are enclosed in marks in one pass of the pattern and the text is cut at the marks; the running length of the pieces gives
+every offset.  Nothing leaves the JVM and no row is multiplied: a row carries its spans as an array until somebody asks for the
+long table.
 """
 
 from __future__ import annotations
@@ -27,30 +26,36 @@ def no_spans() -> Column:
     return F.array().cast(SPAN_TYPE)
 
 
+#: Private characters that enclose matches; a text that holds one of them is searched with ``MARK_INSTEAD`` in its place.
+OPEN, CLOSE, MARK_INSTEAD = "\ue000", "\ue001", "\ue002"
+
+
 def matches(text: Column, pattern: str | Column, hint: Column | None = None) -> Column:
     """Every match of ``pattern`` with its offsets (end exclusive), in order.
 
-    ``hint`` is a cheap necessary condition that keeps the regex off most rows.  The pattern
+    The pattern reads the text once: matches are enclosed in marks, and cutting at the marks gives gaps and matches in turn, whose
+    running length gives the offsets.  ``hint`` is a cheap necessary condition that keeps the regex off most rows.  The pattern
     may be a literal, compiled once, or come from a rule table.
     """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
     empty = F.array().cast(MATCH_TYPE)
-    gaps = F.split(text, regex, -1)
-    hits = F.regexp_extract_all(text, regex, F.lit(0))
-    pairs = F.zip_with(
-        F.slice(gaps, 1, F.size(hits)), hits,
-        lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")),
-    )
-    start = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
+    marked_before = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
+    clean = F.when(marked_before, F.translate(text, OPEN + CLOSE, MARK_INSTEAD * 2)).otherwise(text)
+    pieces = F.split(F.regexp_replace(clean, regex, F.lit(f"{OPEN}$0{CLOSE}")), f"[{OPEN}{CLOSE}]", -1)
 
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["pos"] + pair["gap"]
-        end = begin + F.length(pair["hit"])
-        found = F.struct(begin.alias("start"), end.alias("end"), pair["hit"].alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(found)).alias("out"))
+    def of(p: Column) -> Column:
+        start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), empty.alias("out"))
+
+        def step(acc: Column, piece: Column) -> Column:
+            end = acc["pos"] + F.length(piece)
+            found = F.array(F.struct(acc["pos"].alias("start"), end.alias("end"), piece.alias("value")))
+            return F.struct(end.alias("pos"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+
+        return F.when(F.size(p) > 1, F.aggregate(p, start, step)["out"]).otherwise(empty)
 
-    present = F.rlike(text, regex) if hint is None else hint & F.rlike(text, regex)
-    return F.when(present, F.aggregate(pairs, start, step)["out"]).otherwise(empty)
+    # as the element of an array the pieces are made once, however often they are looked at
+    found = F.get(F.transform(F.array(pieces), of), 0)
+    return F.when(text.isNotNull() if hint is None else hint, found).otherwise(empty)
 
 
 RULE = "array<struct<i:int,type:string,pattern:string,score:double,method:string,signals:array<string>>>"

@@ -9,16 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wardline import fixed_values as V
-from wardline.functions import spans as S, text as T
+from wardline.functions import phrases, spans as S, text as T
 from wardline.functions.lookup import contains_any, one_of
 from wardline.functions.prefilter import rule_bits
 from wardline.functions.scores import pii_type_risk
-from wardline.operators.skew import BROADCAST_MAX_ROWS, fits, join_unique
+from wardline.operators.skew import BROADCAST_MAX_ROWS
 
 VALIDATED = "PATTERN_VALIDATED"
+#: Most characters of aliases in one automaton, some 50 bytes of memory each.
+ALIAS_CHARS = 2_000_000
 LONG_FINDINGS = ("detector", "type", "start", "end", "score", "placeholder", "method", "signals")
 
 
@@ -124,37 +127,32 @@ def scan_pii(df: DataFrame, text: str, out: str = "pii", aliases: Mapping | None
     return found.withColumn(out, F.when(t.isNotNull(), both)).drop("_pbits_c", "_pbits_q", "_checked", "_quick")
 
 
-def scan_aliases(df: DataFrame, aliases: DataFrame, key: str, text: str, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def scan_aliases(df: DataFrame, aliases: DataFrame, key: str, text: str, max_rows: int = BROADCAST_MAX_ROWS, max_chars: int = ALIAS_CHARS) -> DataFrame:
     """Large dictionaries ``aliases(kind, concept, alias)``: long findings with offsets.
 
-    The distinct word sequences of each text meet the word sequences of the dictionary in an
-    equi join (broadcast when its checked size allows, else with hot phrases kept off the
-    shuffle); only texts with a hit are then searched, for the aliases they hold.
+    An automaton of all aliases reads each text once; texts are not moved. The dictionary is counted first: beyond ``max_rows`` aliases or
+    ``max_chars`` characters it is dealt into blocks by a hash, each a pass over the texts of its own, with the same findings.
     """
-    words = lambda c: F.filter(F.split(F.lower(c), r"(?U)\W+"), lambda w: w != "")
-    prepared = (
-        aliases.withColumn("_words", words(F.col("alias"))).withColumn("_len", F.size("_words"))
-        .withColumn("phrase", F.array_join("_words", " "))
-    )
-    grouped = prepared.groupBy("phrase").agg(F.collect_set(F.struct("kind", "concept", "alias")).alias("entries"))
-    lengths = prepared.where("_len > 0").agg(F.array_sort(F.collect_set("_len"))).first()[0]  # one number per alias length
-    staged = df.select(key, words(F.col(text)).alias("_w"))
-
-    def sequences(n: Column) -> Column:
-        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(1), F.size("_w") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))
-
-    every = F.flatten(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), sequences))
-    grams = staged.select(key, F.explode(F.array_distinct(every)).alias("phrase"))
-    hits = grams.join(F.broadcast(grouped), "phrase") if fits(grouped, max_rows) else join_unique(grams, grouped, ["phrase"])
-    held = hits.groupBy(key).agg(F.flatten(F.collect_list("entries")).alias("_held"))
-    found = df.select(key, F.col(text).alias("_t")).join(held, key).select(key, "_t", F.explode("_held").alias("e"))
-    quoted = F.regexp_replace(F.col("e.alias"), r"([^\p{L}\p{N}\s])", r"\\$1")
-    spans = S.matches(F.col("_t"), F.concat(F.lit(r"(?iU)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
-    method = F.when(F.lower("e.alias") == F.lower("e.concept"), "DICTIONARY").otherwise("ALIAS")
-    rows = found.withColumn("_m", spans).select(key, "e", F.explode("_m").alias("m"))
-    return rows.select(key, S.finding(
-        F.col("m"), "pii", F.col("e.kind"), F.lit(V.DICTIONARY_SCORE), method, F.array(F.lit("taxonomy_match"))).alias("f")).select(key, "f.*")
+    known = aliases.where("alias is not null").select("kind", "concept", "alias").distinct()
+    rows, chars = known.agg(F.count("*"), F.coalesce(F.sum(F.length("alias")), F.lit(0))).first()
+    blocks = max(1, -(-rows // max(1, max_rows)), -(-chars // max_chars))
+    texts = df.select(key, F.col(text).cast("string").alias("_t"))
+    schema = T_.StructType([df.schema[key], *T_.StructType.fromDDL(
+        "detector string, type string, start int, end int, score double, placeholder string, method string, signals array<string>").fields])
+    arrow = to_arrow_schema(schema)
+
+    def row(start: int, end: int, entry: tuple[str, str, str]) -> tuple:
+        kind, concept, alias = entry
+        method = "DICTIONARY" if concept is not None and alias.lower() == concept.lower() else "ALIAS"
+        return "pii", kind, start, end, float(V.DICTIONARY_SCORE), f"<{kind}>", method, ["taxonomy_match"]
+
+    found = None
+    for k in range(blocks):
+        part = known.where(F.pmod(F.xxhash64("alias"), F.lit(blocks)) == k).collect()  # of bounded size, see above
+        sent = df.sparkSession.sparkContext.broadcast([(r["alias"], (r["kind"], r["concept"], r["alias"])) for r in part])
+        some = texts.mapInArrow(phrases.scan(lambda s=sent: s.value, row, arrow), schema)
+        found = some if found is None else found.unionByName(some)
+    return found
 
 
 def governed_types(target: str) -> tuple[str, ...]:
