@@ -55,8 +55,7 @@ STRONG = 24
 
 
 def _hashes(words: list[str]) -> np.ndarray:
-    (chunk,) = textops.chunks(pa.array([" ".join(words)]))
-    return textops.words(chunk, lower=True, white=textops.NO_WORD).hash
+    return textops.words(textops.chunk_of([" ".join(words)]), lower=True, white=textops.NO_WORD).hash
 
 
 STOP_HASHES, INSULT_HASHES, STRONG_HASHES = np.unique(_hashes(STOP_WORDS)), np.unique(_hashes(INSULTS)), np.unique(_hashes(INSULTS[:STRONG]))

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 21
-PIECE = 1 << 20
+PIECE = 1 << 18
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: For words without punctuation: all of ASCII but letters and digits.
@@ -85,6 +85,13 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[Chunk]:
         a = b
 
 
+def chunk_of(texts: list[str | None]) -> Chunk:
+    """A few texts of the driver as one chunk."""
+    raw = [(t or "").encode() for t in texts]
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(r) for r in raw], dtype=np.int64)])
+    return Chunk(0, np.frombuffer(b"".join(raw), np.uint8), offsets)
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
     """Hash of data[start:end] for ordered spans that do not overlap."""
     out, letters, a = np.empty(len(start), np.uint64), LETTERS_LOWER if lower else LETTERS, 0
