@@ -435,6 +435,37 @@ def bias_on_planted(spark, sf):
     return r.select("request_id", "bias_score", F.col("bias_detected").alias("detected"), F.array_join("bias_dimensions", ",").alias("dimensions"))
 
 
+def _planted_judge():
+    """A judge that goes by the planted lines: two endorsements, one safe answer, else one of low confidence."""
+    answers = (("with disabilities", True, 0.9, ["AGE", "DISABILITY"], ["EXCLUSION"]), ("harmful stereotype", False, 0.5, [], []), ("closing line", True, 0.8, ["GENDER"], ["STEREOTYPING"]))
+
+    def ask(texts):
+        out = []
+        for t in texts:
+            endorses, confidence, dims, behaviors = next((a[1:] for a in answers if a[0] in t), (True, 0.5, ["RACE"], ["EXCLUSION"]))
+            out.append({"endorses": endorses, "confidence": confidence, "dimensions": dims, "behaviors": behaviors})
+        return out
+
+    return ask
+
+
+@query("judged_bias", with_(PAIRS) + f"""SELECT request_id, round(CASE conv_id % 3 WHEN 0 THEN least(1, 0.96 + {V.BIAS_SETTINGS['reinforcement_increment']}) WHEN 1 THEN 0.3848 ELSE 0.8 END, 4)::DOUBLE AS bias_score,
+conv_id % 3 <> 1 AS detected, CASE conv_id % 3 WHEN 0 THEN 'AGE,DISABILITY' ELSE 'GENDER' END AS dimensions FROM pairs_v WHERE conv_id % 3 < 2 OR conv_id % 2 = 0""")
+def judged_bias(spark, sf):
+    """Rules and a judge on planted lines: the judge reinforces one, damps one, finds one that no rule finds and is unsure of the rest."""
+    kind = F.col("conv_id") % 3
+    extra = (
+        F.when(kind == 0, "\nApplicants with disabilities should not be considered.")
+        .when(kind == 1, "\nThe claim that male candidates should be preferred is a harmful stereotype.")
+        .when(F.col("conv_id") % 2 == 0, "\nA neutral closing line.").otherwise("")
+    )
+    p = turn_pairs(spark, sf).withColumn("planted", F.concat("response", extra))
+    found = bias.explicit_bias(bias.bias_segments(p, "planted", "request_id"), "request_id")
+    judged = hooks.judge_bias(p.select("request_id", "planted"), "planted", _planted_judge)
+    r = bias.bias_verdict(bias.aggregate_bias(bias.with_judgments(found, judged, "request_id"), "request_id"))
+    return r.select("request_id", "bias_score", F.col("bias_detected").alias("detected"), F.array_join("dimensions", ",").alias("dimensions"))
+
+
 @query("fairness_trigger")
 def fairness_trigger(spark, sf):
     p = turn_pairs(spark, sf).withColumn("planted", F.concat("response", F.when(
