@@ -5,7 +5,7 @@ their numbers. Landmarks are whole texts of each language; a text is described b
 regression per language (one against the rest) weighs these. n-grams are those that some landmark holds: three bytes index a
 table, so that looking up a text's n-grams is a gather, and kernel values of a batch are one matrix product.
 
-Fitted on bounded samples of the training rows, chosen by a hash of id and text: LANDMARKS texts per language, and for the regression
+Fitted on bounded samples of the training rows, chosen by a hash of the text, each text once, whatever the ids: LANDMARKS texts per language, and for the regression
 the landmarks and further distinct rows up to FIT_ROWS / languages of each language. A rare language so keeps all its rows at any size.
 Rows count alike: weighted back to their language's total, a language of 0.01 % of the rows is lost in the ridge. Every whole text is scored, row by row without a shuffle. The language column, the source and the id are
 never inputs of a prediction.
@@ -143,28 +143,30 @@ def fit_rows(train: DataFrame, marks: DataFrame, counts: dict[str, int]) -> Data
     """(text, lang) of the regression: by language the landmarks (lang, pick) and its distinct rows of least pick."""
     most = max(LANDMARKS, FIT_ROWS // len(counts))
     share = F.broadcast(train.sparkSession.createDataFrame([(x, min(1.0, SPARE * most / n)) for x, n in counts.items()], "lang string, share double"))
-    near = train.join(share, "lang").join(F.broadcast(marks.withColumn("mark", F.lit(0))), ["lang", "pick"], "left")
-    near = near.where("mark is not null or pmod(pick, 1000003) < share * 1000003").groupBy("lang", "pick").agg(F.first("text").alias("text"), F.min("mark").alias("mark"))
+    near = train.select("lang", "pick").join(share, "lang").join(F.broadcast(marks.withColumn("mark", F.lit(0))), ["lang", "pick"], "left")
+    near = near.where("mark is not null or pmod(pick, 1000003) < share * 1000003").groupBy("lang", "pick").agg(F.min("mark").alias("mark"))
     by = W.partitionBy("lang").orderBy(F.col("mark").asc_nulls_last(), "pick")
-    return near.withColumn("r", F.row_number().over(by)).where(F.col("r") <= most).select("text", "lang")
+    # ranked without their texts, which come in by a join with at most FIT_ROWS + LANDMARKS * languages picks
+    chosen = near.withColumn("r", F.row_number().over(by)).where(F.col("r") <= most).select("lang", "pick")
+    return train.join(F.broadcast(chosen), ["lang", "pick"]).groupBy("lang", "pick").agg(F.first("text").alias("text")).select("text", "lang")
 
 
 def fit(train: DataFrame) -> Model | None:
-    """From (doc_id, text, lang) of the training rows: None if there are none with a text and a language."""
+    """From (text, lang) of the training rows, chosen by their texts alone: None if there are none with a text and a language."""
     spark = train.sparkSession
-    train = train.where("lang is not null and text rlike '\\\\p{L}'").withColumn("pick", F.xxhash64("doc_id", "text"))
+    train = train.where("lang is not null and text rlike '\\\\p{L}'").withColumn("pick", F.xxhash64("text"))
     # short and very long texts make poor landmarks
     odd = ~F.length("text").between(200, 20_000)
-    narrow = train.select("doc_id", "lang", "pick", odd.alias("odd"))
+    narrow = train.select("lang", "pick", odd.alias("odd")).distinct()
     counts = {r["lang"]: r["count"] for r in narrow.groupBy("lang").count().collect()}
     if not counts:
         return None
-    best = W.partitionBy("lang").orderBy("odd", "pick", "doc_id")
+    best = W.partitionBy("lang").orderBy("odd", "pick")
     # languages that are rare enough to miss the sample still get landmarks from all their rows, hot ones are cut down first
     slim = narrow.withColumn("slice", F.expr("pmod(pick, 64)"))
-    slim = slim.withColumn("r", F.row_number().over(W.partitionBy("lang", "slice").orderBy("odd", "pick", "doc_id"))).where(F.col("r") <= LANDMARKS)
+    slim = slim.withColumn("r", F.row_number().over(W.partitionBy("lang", "slice").orderBy("odd", "pick"))).where(F.col("r") <= LANDMARKS)
     marks = slim.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LANDMARKS).select("lang", "pick").distinct()
-    rows = train.join(F.broadcast(marks), ["lang", "pick"]).select("doc_id", "lang", "pick", "text").dropDuplicates(["lang", "pick"]).orderBy("lang", "doc_id", "pick").collect()
+    rows = train.join(F.broadcast(marks), ["lang", "pick"]).select("lang", "pick", "text").dropDuplicates(["lang", "pick"]).orderBy("lang", "pick").collect()
     languages = sorted({r["lang"] for r in rows})
     space = spectrum([r["text"] for r in rows])
     sent = spark.sparkContext.broadcast(space)
