@@ -6,13 +6,15 @@ lengthens its prefix (raises its own l) while the estimated cost of its candidat
 two l as shared prefix shingles before it is verified on the texts.
 
 Steps:
-1. One pass gives each document's set size and 128-bit set fingerprint, and counts shingles into a sketch of fixed size. The
-   sketch sets the order and the cost estimates only; results do not depend on it. Equal sets are one class from here on.
+1. One pass gives each document's set size and 128-bit set fingerprint, and counts shingles into a sketch that grows with the
+   text, so that rare shingles are told from common ones at any size. The sketch sets the order and the cost estimates only;
+   results do not depend on it. Equal sets are one class from here on.
 2. One shuffle deals prefix postings by shingle, those that the sketch calls hot by shingle and a slice of the classes;
    shingles of a single class end here. Each run also names a leader, and (leader, member) pairs are verified first.
 3. Components of the verified links settle most shingles: where all classes of a shingle are in one component, no further pair
-   can matter. Shingles that stay open and have more than CROWD classes tie these into families; all pairs of a family are compared
-   in blocks of classes, as matrix products over their whole sets, and a block gives its spanning links only. Open shingles of
+   can matter. Shingles that stay open and have more than CROWD classes tie these into families; all pairs of a family whose sizes
+   can be similar are compared in blocks of classes, as matrix products over their whole sets, and a block gives its spanning
+   links only. Open shingles of
    fewer classes give pairs between components, which are verified if they share enough prefix shingles for their sizes. No pair that could
    join components is skipped, and no crowd is ever written out as pairs.
 
@@ -27,6 +29,8 @@ empty table gives no row.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,7 +42,8 @@ from wardline.llm.components import components
 from wardline.llm.shared import cut, documents, drop, partitions, small_batches
 
 SHINGLE, SIMILAR = 5, 80
-BUCKETS, SLICES = 1 << 19, 64
+#: Buckets of the sketch: one for each TEXT_PER_BUCKET characters of text, between these bounds (2 to 64 MB as 32-bit numbers).
+BUCKETS, MOST_BUCKETS, TEXT_PER_BUCKET, SLICES = 1 << 19, 1 << 24, 1024, 64
 MAX_MATCH, VERIFY_COST, HOT = 4, 20.0, 50_000
 #: Open shingles of more classes are compared as families; blocks of a verification hold about so many classes.
 CROWD, BLOCK, SPREAD = 32, 512, 16
@@ -61,11 +66,17 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(_signed(np.array([textops.mixed(s + np.uint64(k)).sum(dtype=np.uint64)], np.uint64))[0]) for k in (0x51ED, 0xA0761D64))
 
 
-def _signatures(n_words: int) -> Callable[[Batches], Batches]:
+def buckets_for(docs: DataFrame) -> int:
+    """Buckets for the text of `docs`, a power of two: about as many shingles share one whatever the input's size."""
+    chars = docs.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    return max(BUCKETS, min(MOST_BUCKETS, 1 << max(0, math.ceil(chars / TEXT_PER_BUCKET) - 1).bit_length()))
+
+
+def _signatures(n_words: int, buckets: int) -> Callable[[Batches], Batches]:
     kinds = [(c, pa.int64()) for c in ("doc_id", "t1", "t2", "n", "h", "h2")] + [("slice", pa.int32()), ("counts", pa.binary())]
 
     def run(batches: Batches) -> Batches:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts, some = np.zeros(buckets, np.uint32), False
         for batch in batches:
             keys, rows = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)), []
             for chunk in textops.chunks(batch.column(3)):
@@ -73,13 +84,16 @@ def _signatures(n_words: int) -> Callable[[Batches], Batches]:
                 for k, s in enumerate(textops.shingle_sets(chunk, n_words)):
                     rows.append((*keys[chunk.first + k], len(s), *fingerprint(s)))
                     seen.append(s)
-                counts += np.bincount((np.concatenate(seen) % np.uint64(BUCKETS)).view(np.int64), minlength=BUCKETS)
+                np.add.at(counts, (np.concatenate(seen) % np.uint64(buckets)).view(np.int64), np.uint32(1))
+                some = True
             if rows:
                 yield _batch(kinds, *zip(*rows, strict=True), [None] * len(rows), [None] * len(rows))
-        small, each = np.minimum(counts, 65_535).astype("<u2"), BUCKETS // SLICES
-        if counts.any():
+        each = buckets // SLICES
+        if some:
             nothing = [None] * SLICES
-            yield _batch(kinds, *[nothing] * 6, list(range(SLICES)), [small[k * each : (k + 1) * each].tobytes() for k in range(SLICES)])
+            # a task fills few of many buckets: packed, its counts take no more than in proportion to its text
+            packed = [zlib.compress(np.minimum(counts[k * each : (k + 1) * each], 65_535).astype("<u2").tobytes(), 1) for k in range(SLICES)]
+            yield _batch(kinds, *[nothing] * 6, list(range(SLICES)), packed)
 
     return run
 
@@ -89,18 +103,22 @@ def _sum_slices(batches: Batches) -> Batches:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(raw, "<u2").astype(np.int64)
-            total[k] = total[k] + part if k in total else part
+            part = np.frombuffer(zlib.decompress(raw), "<u2")
+            if k in total:
+                total[k] += part
+            else:
+                total[k] = part.astype(np.int64)
     if total:
-        yield _batch([("slice", pa.int32()), ("counts", pa.binary())], list(total), [v.astype("<i8").tobytes() for v in total.values()])
+        yield _batch([("slice", pa.int32()), ("counts", pa.binary())], list(total), [np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in total.values()])
 
 
-def sketch(signatures: DataFrame) -> np.ndarray:
-    """Counts of BUCKETS shingle buckets over all documents: 4 MB whatever the input."""
+def sketch(signatures: DataFrame, buckets: int) -> np.ndarray:
+    """Counts of the shingle buckets over all documents, as 32-bit numbers."""
     rows = signatures.where("slice is not null").select("slice", "counts").repartition(partitions(signatures.sparkSession), "slice").mapInArrow(_sum_slices, "slice int, counts binary").collect()
-    out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
-    for k, raw in rows:
-        out[k] = np.frombuffer(raw, "<i8")
+    out = np.zeros((SLICES, buckets // SLICES), np.uint32)
+    while rows:  # what has been read is let go
+        k, raw = rows.pop()
+        out[k] = np.frombuffer(raw, "<u4")
     return out.reshape(-1)
 
 
@@ -111,7 +129,7 @@ def overlap(n: int, similar: int) -> int:
 
 def prefix(s: np.ndarray, counts: np.ndarray, noise: float, similar: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The adaptive prefix of one set: its shingles, their bucket counts and the number of matches that it asks for."""
-    count = counts[(s % np.uint64(len(counts))).view(np.int64)]
+    count = counts[(s % np.uint64(len(counts))).view(np.int64)].astype(np.int64)
     order = np.lexsort((s, count))
     least = overlap(len(s), similar)
     base, most = len(s) - least, min(MAX_MATCH, least)
@@ -129,7 +147,7 @@ def _postings(counts_of: Callable[[], np.ndarray], n_words: int, similar: int) -
 
     def run(batches: Batches) -> Batches:
         counts = counts_of()
-        noise = counts.sum() / len(counts)
+        noise = counts.sum(dtype=np.int64) / len(counts)
         for batch in batches:
             for chunk in textops.chunks(batch.column(0)):
                 tokens, hs, metas = [], [], []
@@ -314,12 +332,28 @@ def _families(n_words: int, similar: int) -> Callable[[Batches], Batches]:
 
 
 def family_links(families: DataFrame, classes: DataFrame, docs: DataFrame, n_words: int, similar: int) -> DataFrame:
-    """Spanning links of each family (class_id, family): every pair of its classes meets in some pair of its blocks."""
-    sizes = families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
-    own = families.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("n")).cast("int"))
-    others = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda x: x != F.col("own")))
-    each = own.select("class_id", "family", "own", F.explode(others).alias("other"))
-    requests = cut(each.select("class_id", "family", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")), "ngram-families")
+    """Spanning links of each family (class_id, family): every pair of its classes that can be similar meets in some pair of its blocks.
+
+    The classes of a family of more than one block are dealt by bands of set size, so wide that similar sets are in the same band or in
+    neighbouring ones: blocks of other bands never meet, and a text is copied for blocks of its own three bands only.
+    """
+    sized = families.join(classes.select("class_id", F.col("n").alias("size")), "class_id")
+    whole = families.groupBy("family").agg(F.count("*").alias("all"))
+    # a little wider than the ratio, so that rounding never parts two sets by more than one band
+    width = 1.0001 * math.log(100 / similar) if similar < 100 else 0.0001
+    banded = sized.join(whole, "family").withColumn("band", F.when(F.col("all") <= BLOCK, 0).otherwise(F.floor(F.log("size") / width)).cast("int"))
+    banded = cut(banded.select("class_id", "family", "band"), "ngram-banded")
+    sizes = banded.groupBy("family", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    there = sizes.select("family", F.col("band").alias("near"), F.col("n").alias("m"))
+    own = banded.join(sizes, ["family", "band"]).withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("n")).cast("int"))
+    near = own.withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(there, ["family", "near"])
+    same = F.col("near") == F.col("band")
+    # the blocks of a band meet one another; a single one is compared in itself
+    others = F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda x: ~same | (F.col("n") == 1) | (x != F.col("own")))
+    block = lambda band, k: F.shiftleft(band.cast("long"), 32) + k
+    each = near.select("class_id", "family", block(F.col("band"), F.col("own")).alias("mine"), "near", F.explode(others).alias("k"))
+    each = each.select("class_id", "family", "mine", block(F.col("near"), F.col("k")).alias("other"))
+    requests = cut(each.select("class_id", "family", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q")), "ngram-families")
     rows = with_texts(requests, classes, docs).select("family", "p", "q", "class_id", "text")
     rows = rows.repartition(partitions(docs.sparkSession), "family", "p", "q").sortWithinPartitions("family", "p", "q")
     return rows.mapInArrow(_families(n_words, similar), "a long, b long").where("a != b")
@@ -340,8 +374,9 @@ def groups(docs: DataFrame, n_words: int = SHINGLE, similar: int = SIMILAR) -> D
     spark = docs.sparkSession
     small_batches(spark)
     docs = text_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    made = cut(docs.select("doc_id", "t1", "t2", "text").mapInArrow(_signatures(n_words), SIGNATURE), "ngram-signatures")
-    counts = spark.sparkContext.broadcast(sketch(made))
+    buckets = buckets_for(docs)
+    made = cut(docs.select("doc_id", "t1", "t2", "text").mapInArrow(_signatures(n_words, buckets), SIGNATURE), "ngram-signatures")
+    counts = spark.sparkContext.broadcast(sketch(made, buckets))
     signs = made.where("slice is null").select("doc_id", "t1", "t2", "n", "h", "h2")
     same = signs.where("n > 0").groupBy("n", "h", "h2").agg(F.min("doc_id").alias("label"), F.min("t1").alias("t1"), F.min_by("t2", "t1").alias("t2"))
     # written, so that the numbers hold
