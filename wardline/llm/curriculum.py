@@ -103,9 +103,12 @@ def training_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, targets and the words that the curriculum places: `taken` counts the copies that got a training time, rows come by their first one."""
     docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    mixed = mix(docs)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    placed = F.filter("positions", lambda at: (at >= 0) & (at <= 1))
+    mixed = mix(docs).withColumn("taken", F.size(placed) * F.col("size")).withColumn("first", F.array_min(placed))
+    ordered = mixed.select("doc_id", "size", "source_size", "target", "taken", "first").orderBy(F.col("first").asc_nulls_last(), "doc_id")
+    return ordered.drop("first")
 
 
 OP6_SQL = r"""
