@@ -40,14 +40,36 @@ def extract_numbers(text: Column) -> Column:
 
 
 def polarity_markers(text: Column) -> Column:
-    """ARRAY<STRUCT<category, polarity>> of the categories the text takes a side on."""
-    lowered = F.regexp_replace(F.lower(text), r"\s+", " ")
-    sides = [
-        F.when(lowered.rlike(negative), F.struct(F.lit(name).alias("category"), F.lit(-1).alias("polarity")))
-        .when(lowered.rlike(positive), F.struct(F.lit(name).alias("category"), F.lit(1).alias("polarity")))
-        for name, (negative, positive) in V.POLARITY_PATTERNS.items()
-    ]
-    return F.array_compact(F.array(*sides))
+    """ARRAY<STRUCT<category, polarity>> of the categories the text takes a side on.
+
+    Every match of a category's patterns holds one of its stems, so the patterns run on texts with a stem only. A text is lower-cased
+    once and its white space squeezed once, where some category needs it.
+    """
+    side = lambda name, polarity: F.struct(F.lit(name).alias("category"), F.lit(polarity).alias("polarity"))
+
+    def held(low: Column, name: str) -> Column:
+        stem = F.lit(False)
+        for s in V.POLARITY_STEMS[name]:
+            stem = stem | F.contains(low, F.lit(s))
+        return stem
+
+    def markers(x: Column) -> Column:
+        return F.array_compact(F.array(*(
+            F.when(x[name], F.when(x["t"].rlike(negative), side(name, -1)).when(x["t"].rlike(positive), side(name, 1)))
+            for name, (negative, positive) in V.POLARITY_PATTERNS.items()
+        )))
+
+    def marked(low: Column) -> Column:
+        return F.struct(low.alias("t"), *(held(low, name).alias(name) for name in V.POLARITY_PATTERNS))
+
+    def squeezed(x: Column) -> Column:
+        some = F.lit(False)
+        for name in V.POLARITY_PATTERNS:
+            some = some | x[name]
+        return x.withField("t", F.when(some, F.regexp_replace(x["t"], r"\s+", " ")))
+
+    each = lambda value, body: F.transform(F.array(value), body)  # evaluates a value once
+    return F.flatten(F.transform(F.transform(F.transform(each(F.lower(text), lambda low: low), marked), squeezed), markers))
 
 
 def character_classes(value: Column) -> Column:
