@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wardline.catalog import views
@@ -18,6 +17,7 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 STATUS_OF = R.STATUS_OF
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 REVIEW_OUT = "request_id bigint, outcome string, status string, correct_action string, reviewer_id string, refused bigint"
+REVIEW_FIELDS = [field.split()[0] for field in REVIEW_OUT.split(", ")]
 
 
 @contextmanager
@@ -121,40 +121,45 @@ class ReviewStates(StatefulProcessor):
         self.status = handle.getValueState("status", "status string", self.ttl_ms)
         self.refused = handle.getListState("refused", "decision_id bigint", self.ttl_ms)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        status = self.status.get()[0] if self.status.exists() else None
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001
+        # each call of the state is a message to the JVM: one look-up, and what changed is written
+        held = self.status.get()
+        status = held[0] if held is not None else None
         opened, best, newest, seen = False, None, 0, []
-        for pdf in rows:  # one bounded chunk at a time
-            opened = opened or bool((pdf["kind"] == "review").any())
-            newest = max(newest, int(pd.Timestamp(pdf["ts"].max()).timestamp() * 1000))
-            d = pdf[pdf["kind"] == "decision"]
-            seen += [int(x) for x in d["decision_id"]]
-            if len(d):
-                first = d.sort_values(["ts", "decision_id"]).iloc[0]
-                if best is None or (first["ts"], first["decision_id"]) < (best["ts"], best["decision_id"]):
-                    best = first
+        for row in rows:  # one at a time
+            if row["us"] is not None:
+                newest = max(newest, row["us"] // 1000)
+            if row["kind"] == "review":
+                opened = True
+            elif row["kind"] == "decision":
+                seen.append(int(row["decision_id"]))
+                order = (row["us"] is None, row["us"] or 0, seen[-1])
+                if best is None or order < best[0]:
+                    best = (order, row["decision"], row["reviewer_id"])
         if status is None and opened:
             status = "PENDING"
-        row = None
+        out = None
         if best is not None:
+            order, decision, reviewer = best
             if status == "PENDING":
-                status = STATUS_OF[best["decision"]]
-                seen.remove(int(best["decision_id"]))
-                row = ("applied", status, R.CORRECT_ACTION_OF[best["decision"]], best["reviewer_id"], len(seen))
+                status = STATUS_OF[decision]
+                seen.remove(order[2])
+                out = ("applied", status, R.CORRECT_ACTION_OF[decision], reviewer, len(seen))
             else:
-                row = ("unknown" if status is None else "conflict", status, None, None, len(seen))
+                out = ("unknown" if status is None else "conflict", status, None, None, len(seen))
         if status is not None:
-            self.status.update((status,))
+            if held is None or status != held[0] or self.ttl_ms is not None:
+                self.status.update((status,))
             if seen:
                 self.refused.appendList([(x,) for x in seen])
             if self.retention_ms is not None:
                 for old in list(self.handle.listTimers()):
                     self.handle.deleteTimer(old)
                 self.handle.registerTimer(max(newest, timerValues.getCurrentWatermarkInMs()) + self.retention_ms)
-        if row is not None:
-            yield pd.DataFrame([(key[0], *row)], columns=["request_id", "outcome", "status", "correct_action", "reviewer_id", "refused"])
+        if out is not None:
+            yield Row(**dict(zip(REVIEW_FIELDS, (key[0], *out), strict=True)))
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001
         self.status.clear()
         self.refused.clear()
         return iter(())
@@ -173,7 +178,9 @@ def review_states(stream: DataFrame, retention_ms: int | None = None, watermark:
     if retention_ms is not None and ttl_ms is not None:
         raise ValueError("retention_ms counts event time, ttl_ms counts by the clock: choose one")
     timed = stream if ttl_ms is not None else stream.withWatermark("ts", watermark)
-    return timed.groupBy("request_id").transformWithStateInPandas(
+    # rows, not frames: most requests have a few rows, and a frame costs more than a thousand of them
+    timed = timed.withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy("request_id").transformWithState(
         ReviewStates(retention_ms, ttl_ms), REVIEW_OUT, "Append", "ProcessingTime" if ttl_ms is not None else "EventTime")
 
 
