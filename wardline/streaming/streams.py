@@ -210,8 +210,9 @@ def govern_stream(spark: SparkSession, in_dir: str, audit_dir: str, reviews_dir:
         try:
             bad = F.size("violations") > 0
             writers.write_batch(rows.where(bad), rejected_dir, batch_id)
-            valid = rows.where(~bad).drop("violations", "row_sha256")
-            mine = writers.write_audit(plans.audit_rows(plans.govern(valid, evidence, **options)), audit_dir, batch_id)
+            # ranges of (date, id): a task writes few of the date folders, and a day of any size is dealt over tasks
+            valid = rows.where(~bad).drop("violations", "row_sha256").repartitionByRange(F.to_date("ts"), "request_id")
+            mine = writers.write_audit(plans.audit_rows(plans.govern(valid, evidence, thin=True, **options)), audit_dir, batch_id)
             writers.write_batch(R.enqueue_reviews(mine, mine.select("request_id").limit(0)), reviews_dir, batch_id)
         finally:
             rows.unpersist()
