@@ -437,3 +437,92 @@ def test_orthonormal() -> None:
     gram = basis.T.astype(float) @ basis
     kept = np.diag(gram) > 0.5
     assert kept.sum() == 11 and np.abs(gram - np.diag(kept.astype(float))).max() < 1e-4
+
+
+def test_block_vectors(monkeypatch: pytest.MonkeyPatch) -> None:
+    """Sums of the words' rows, whatever the lengths and wherever the blocks are cut apart."""
+    rng = np.random.default_rng(3)
+    basis, idf = rng.standard_normal((decontaminate.FEATURES, 6), np.float32), rng.random(decontaminate.FEATURES, np.float32)
+    texts = [None, "", *(prose(71_000 + n, n) for n in (1, 15, 16, 17, 31, 32, 33, 400)), " .,; ", prose(5, 3)]
+    chunk = decontaminate.textops.chunk_of(texts)
+    w = decontaminate.plain_words(chunk)
+    start, row, _ = decontaminate.blocks(w, len(texts))
+    stop = [*start[1:], len(w.row)]
+    terms = [decontaminate.term(w.hash[a:b]) for a, b in zip(start, stop, strict=True)]
+    assert sorted({len(t) for t in terms}) == [1, 3, 15, 16]
+    for gathered in (1, 7, 512):
+        monkeypatch.setattr(decontaminate, "GATHERED", gathered)
+        vectors, norms = decontaminate.block_vectors(w, start, basis, idf)
+        assert np.allclose(vectors, [basis[t].sum(axis=0) for t in terms], atol=1e-4) and np.allclose(norms, [(idf[t] ** 2).sum() for t in terms], rtol=1e-4)
+    none = decontaminate.plain_words(decontaminate.textops.chunk_of([]))
+    assert decontaminate.block_vectors(none, none.start, basis, idf)[0].shape == (0, 6)
+
+
+def test_regions(monkeypatch: pytest.MonkeyPatch) -> None:
+    """No pair is lost that has enough of the item's words; signatures are doubled once for all reaches, and read once for each reach."""
+    rng = random.Random(9)
+    items = [prose(72_000 + k, rng.randint(8, 70)).split() for k in range(40)] + [["same"] * 20]
+    texts = [prose(73_000 + k, rng.randint(1, 260)) for k in range(30)]
+    texts += [" ".join([prose(k, 40), *items[k][: len(items[k]) * (5 + k % 5) // 9], prose(k + 1, 30)]) for k in range(40)] + ["same " * 50, ""]
+    chunk = decontaminate.textops.chunk_of(texts)
+    w = decontaminate.plain_words(chunk)
+    start, row, _ = decontaminate.blocks(w, len(texts))
+    bounds = decontaminate.textops.row_bounds(w.row, len(texts))
+    words = decontaminate.words_of([" ".join(i) for i in items])
+    sizes = np.array([len(x) for x in words])
+    marks = {b: decontaminate.signatures(np.array([x for y in words for x in y], np.uint64), np.repeat(np.arange(len(words)), sizes), len(words), b) for b in (decontaminate.SIGNATURE, decontaminate.FINE)}
+    made, asked, around = [], [], decontaminate.Spread.around
+
+    class Counted(decontaminate.Spread):
+        def __init__(self, held: np.ndarray, row: np.ndarray) -> None:
+            super().__init__(held, row)
+            made.append(self)
+
+        def around(self, block: np.ndarray, reach: np.ndarray | int) -> np.ndarray:
+            asked.append((self.levels[0].shape[1] * 64, len(block)))
+            out = around(self, block, reach)
+            for b, r, got in zip(block.tolist(), np.broadcast_to(reach, len(block)).tolist(), out, strict=True):
+                near = [k for k in range(max(0, b - r), min(len(row), b + r + 3)) if row[k] == row[b]]
+                assert (got == np.bitwise_or.reduce(self.levels[0][near])).all()
+            return out
+
+    monkeypatch.setattr(decontaminate, "Spread", Counted)
+    regions = decontaminate.Regions(w, start, row, sizes, marks)
+    block, item = (x.ravel() for x in np.meshgrid(np.arange(len(start)), np.arange(len(words)), indexing="ij"))
+    fit = set(regions.possible(block, item).tolist())
+    assert regions.possible(block[:0], item[:0]).tolist() == [] and fit == set(regions.possible(block, item).tolist())
+    enough = 0
+    for k, (b, i) in enumerate(zip(block.tolist(), item.tolist(), strict=True)):
+        region = w.hash[max(bounds[row[b]], start[b] - sizes[i]) : min(bounds[row[b] + 1], start[b] + 2 * decontaminate.BLOCK + sizes[i])].tolist()
+        if decontaminate.common(decontaminate.masks_of(words[i]), len(words[i]), region) >= decontaminate.LIKELY * len(words[i]):
+            enough += 1
+            assert k in fit
+    assert enough >= 40 and len(fit) < 0.8 * len(block)
+    assert len(made) == 2 and all(len(m.levels) <= 5 for m in made)
+    wide = [n for bits, n in asked if bits == decontaminate.SIGNATURE]
+    assert wide == [len(start)] * len({-(-n // decontaminate.BLOCK) for n in sizes.tolist()})
+
+
+def test_bits_set() -> None:
+    rng = np.random.default_rng(4)
+    for columns in (8, 16):
+        x = rng.integers(0, 1 << 63, (50, columns), np.uint64) * np.uint64(2) + rng.integers(0, 2, (50, columns), np.uint64)
+        x[0], x[1] = 0, ~np.uint64(0)
+        assert decontaminate.bits_set(x).tolist() == [sum(int(v).bit_count() for v in r) for r in x]
+        assert decontaminate.bits_set(x[:0]).tolist() == []
+
+
+def test_words_of_bytes() -> None:
+    """Words and their rows against a split of each text; a word's hash is the same wherever it stands, also beyond what is summed at a time."""
+    textops = decontaminate.textops
+    long = "q" * (textops.SUMMED + 5)
+    texts = [None, "", "one", " \t one\x0btwo ", "é\x1cü one", *["one " + prose(k, 3000) + " one" for k in range(8)], long, "a " + long + " one " + long, "\x0c"]
+    for white, lower in ((textops.WHITE, False), (textops.NO_WORD, True)):
+        chunk = textops.chunk_of(texts)
+        w = textops.words(chunk, lower=lower, white=white)
+        split = [[x for x in re.split(b"[" + re.escape(bytes(np.flatnonzero(white).astype(np.uint8))) + b"]+", (t or "").encode()) if x] for t in texts]
+        assert [bytes(chunk.data[a:b]) for a, b in zip(w.start, w.end, strict=True)] == [x for t in split for x in t]
+        assert w.row.tolist() == [k for k, t in enumerate(split) for _ in t]
+        assert all(len({h for h, x in zip(w.hash.tolist(), (x for t in split for x in t), strict=True) if x == word}) == 1 for word in (b"one", long.encode()))
+    none = textops.words(textops.chunk_of([]), lower=True)
+    assert len(none.row) == len(none.hash) == 0
