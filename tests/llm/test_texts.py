@@ -345,6 +345,59 @@ def test_hot_leaks(spark: SparkSession) -> None:
     assert {(r["doc_id"], r["item"]) for r in got} == {(1, 1), (2, 1)}
 
 
+def passages_of(text: str) -> list[list[int]]:
+    """Terms of each block and the next, of the last block alone."""
+    t = [h % decontaminate.FEATURES for h in decontaminate.words_of([text])[0]]
+    return [t[a : a + 2 * decontaminate.BLOCK] for a in range(0, len(t), decontaminate.BLOCK)]
+
+
+def weighted(terms: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms of a passage and their TF-IDF weights, of unit length."""
+    t, n = np.unique(terms, return_counts=True)
+    x = idf[t].astype(float) * n
+    return t, x / np.sqrt((x * x).sum())
+
+
+def test_space_of_all_passages(spark: SparkSession) -> None:
+    """The latent space is whitened over every passage of every document and of the benchmark, repeated ones as often as they occur."""
+    texts = [prose(200_000 + k, 500) for k in range(320)] + [prose(1, 40)] * 60 + [None, "", " .,; "]
+    items = [prose(300_000 + k, 30) for k in range(20)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    index = decontaminate.build(make_docs(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]), benchmark)
+    rows = [weighted(p, index.idf) for t in [*texts, *items] for p in passages_of(t or "")]
+    assert len(rows) > 10_000
+    z = np.array([x @ index.basis[t] for t, x in rows])
+    assert z.shape[1] == decontaminate.RANK and np.abs(z.T @ z - np.eye(decontaminate.RANK)).max() < 0.01
+
+
+def test_products_of_passages(monkeypatch: pytest.MonkeyPatch) -> None:
+    """Products with the matrix of passages against its rows one by one, wherever a batch is cut apart."""
+    rng = np.random.default_rng(5)
+    texts = [None, "", *(prose(81_000 + n, n) for n in (1, 15, 16, 17, 31, 32, 33, 400)), " .,; ", " ".join(["same words here"] * 30), prose(5, 3)]
+    basis, idf = rng.standard_normal((decontaminate.FEATURES, 6), np.float32), rng.random(decontaminate.FEATURES, np.float32) + 0.1
+    terms = [*decontaminate._terms(iter([decontaminate.pa.RecordBatch.from_pydict({"text": texts})]))]
+    found = [np.frombuffer(x, np.uint16).tolist() for b in terms for x in b.column(0).to_pylist()]
+    assert found == [[h % decontaminate.FEATURES for h in w] for w in decontaminate.words_of(texts) if w]
+    twice, moment = np.zeros(basis.shape), np.zeros((6, 6))
+    for p in (p for t in texts for p in passages_of(t or "")):
+        t, x = weighted(p, idf)
+        y = x @ basis[t]
+        twice[t] += x[:, None] * y
+        moment += np.outer(y, y)
+    sent = (basis * idf[:, None], idf.astype(float) ** 2)
+    for multiplied, span, gathered in ((1, 2, 3), (7, 3, 1), (1 << 15, 32, 512)):
+        for name, value in (("MULTIPLIED", multiplied), ("SPAN", span), ("GATHERED", gathered)):
+            monkeypatch.setattr(decontaminate, name, value)
+        got = np.zeros(basis.shape, np.float32)
+        for b in decontaminate._multiply(lambda: sent, True)(iter(terms)):
+            for k, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got.reshape(-1, decontaminate.SENT * 6)[k] = np.frombuffer(m, np.float32)
+        assert np.allclose(got * idf[:, None], twice, atol=1e-4)
+        (only,) = decontaminate._multiply(lambda: sent, False)(iter(terms))
+        assert np.allclose(np.frombuffer(only.column(1)[0].as_py()).reshape(6, 6), moment, rtol=1e-4, atol=1e-4)
+    assert [*decontaminate._multiply(lambda: sent, True)(iter([]))] == []
+
+
 def test_sample_of_passages(spark: SparkSession) -> None:
     """The sample keeps its bound, counts a repeated passage once and takes passages whatever their first word."""
     benchmark = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
