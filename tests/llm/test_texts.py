@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import SparkSession, functions as F
 
+import corpus_pipeline
 from tests.llm.conftest import ASCII_WORD, make_docs, prose
 from wardline.llm import decontaminate, deobfuscate, language, lattice, quality
 
@@ -370,6 +371,23 @@ def test_space_of_all_passages(spark: SparkSession) -> None:
     assert z.shape[1] == decontaminate.RANK and np.abs(z.T @ z - np.eye(decontaminate.RANK)).max() < 0.01
 
 
+def test_pipeline_reads_all_passages(spark: SparkSession, tmp_path, monkeypatch: pytest.MonkeyPatch) -> None:
+    """The pipeline's step makes its latent space of every passage that it gets, repeated ones and null ids too; removal is as before."""
+    item = prose(400_000, 30)
+    spark.createDataFrame([(1, item), (2, "the")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [prose(410_000 + k % 20, 150) + (" " + item if k % 20 == 3 else "") for k in range(60)] + [None, ""]
+    docs, seen, basis = make_docs(spark, [(None if k % 7 == 0 else k, t, "en", "a") for k, t in enumerate(texts)]), [], decontaminate.latent_basis
+
+    def spy(terms, *rest):
+        seen.append(sum(-(-len(r[0]) // (2 * decontaminate.BLOCK)) for r in terms.collect()))
+        return basis(terms, *rest)
+
+    monkeypatch.setattr(decontaminate, "latent_basis", spy)
+    left = corpus_pipeline.no_leaks(spark, docs, str(tmp_path)).collect()
+    assert seen == [sum(len(passages_of(t or "")) for t in [*texts, item])]
+    assert sorted(r["text"] or "" for r in left) == sorted(t or "" for t in texts if item not in (t or ""))
+
+
 def test_products_of_passages(monkeypatch: pytest.MonkeyPatch) -> None:
     """Products with the matrix of passages against its rows one by one, wherever a batch is cut apart."""
     rng = np.random.default_rng(5)
