@@ -1,6 +1,7 @@
 """What keeps the flows in bounds on large tables: slices of batches, one pass over a text, states without frames."""
 
 import datetime as dt
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from wardline import fixed_values as V
 from wardline.functions import hooks, text as T
 from wardline.functions.lookup import contains_any
-from wardline.operators import retrieval
+from wardline.operators import groundedness as G, retrieval
 from wardline.plans import govern as plans
 from wardline.sources import readers
 from wardline.streaming import streams
@@ -107,3 +108,58 @@ def test_a_text_enters_a_word_search_once(spark):
     df = spark.createDataFrame([(0, "An ALPHA"), (1, "beta"), (2, "gamma"), (3, None), (4, "")], "i int, t string")
     got = {r["i"]: r["x"] for r in df.select("i", contains_any(low("t"), ["Alpha", "bet"]).alias("x")).collect()}
     assert got == {0: True, 1: True, 2: False, 3: False, 4: False}
+
+
+def test_claims_are_read_once(spark):
+    """Claims as by regular expressions over the whole text, which is stripped once."""
+    import re
+
+    texts = ["The river rises.  It is 12 km long.\n\n- 3,500.75\n* Ferries leave at 7.", " \t padded text here \u2028", "x", "12.5", "1,000\u2028", "", None, "Hello there, my friend. **Bold** words `code` stay here.",
+             "line one \u0085", "\u2028 not white space", "Ends with a blank. \x0b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = df.select("i", G.claims_of(F.col("t")).alias("c"))
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    clean = trim(T.strip_markdown(F.col("t")))
+    some = F.filter(F.transform(F.split(clean, V.CLAIM_BOUNDARY, -1), trim), lambda s: (F.length(s) >= V.CLAIM_MIN_CHARS) & ~F.regexp_replace(s, "[.,]", "").rlike("^[0-9]+$"))
+    opening = "^(?:" + "|".join(V.NON_FACTUAL_PREFIXES) + ")"
+    plain = df.select("i", F.filter(F.when(F.size(some) > 0, some).otherwise(F.array(clean)), lambda s: ~F.lower(s).rlike(opening)).alias("c"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+    assert len(re.findall(r"regexp_replace\(t#", found._jdf.queryExecution().analyzed().toString())) == 1
+
+
+def test_facts_of_the_base_change_nothing(spark):
+    """Verdicts are the same whether a content's facts come with the candidates or are made in the row; a claim's own are made once for all of them."""
+    kb = hooks.embed(spark.createDataFrame([(f"d{i % 7}", "hr_copilot" if i % 3 else None, None if i % 5 == 0 else f"t{i}", c) for i, c in enumerate([
+        "Employees receive 10 sick days per year.", "Travel is not permitted on weekends.", "Travel is permitted on weekends.", "", "Limit of  1,000 EUR per trip.",
+        "Employees receive 10 sick days per year.", "The market closes on Sunday.", "Refunds are  excluded after 30 days.", "Refunds are included."])],
+        "doc_id string, use_case string, title string, content string"), "content")
+    rows = [(str(i), u, t) for i, (u, t) in enumerate(itertools.product(("hr_copilot", "other", None), (
+        "Employees receive 10 sick days per year.", "Employees receive 20 sick days per year. Travel is permitted on weekends.", "Unlimited spending per trip is fine.", "", None,
+        "Travel is permitted on weekends. Refunds are included after 30 days. The moon is far away from here.")))]
+    df = spark.createDataFrame(rows, "request_id string, use_case string, response string")
+    ask = plans.evidence_from_kb(kb)
+    found = [ask(df, "response", "claims", facts=f) for f in (False, True)]
+    found = [spark.createDataFrame(f.collect(), f.schema) for f in found]
+    plain, known = (G.evaluate_in_row(f) for f in found)
+    got = [sorted((str(r["request_id"]), str(r["claim_verdicts"]), r["groundedness_verdict"], r["grounded_claims"]) for r in d.collect()) for d in (plain, known)]
+    assert got[0] == got[1] and {"SUPPORTED", "CONTRADICTED"} <= {r[2] for r in got[0]}
+    pairs = found[0].select("request_id", "use_case", F.explode("claims").alias("x")).select("*", F.explode("x.candidates").alias("c"))
+    each = G.evaluate_candidate(pairs.select("request_id", G.use_case_threshold(F.col("use_case")).alias("threshold"), "x.claim_index", "x.claim", "c.*"))
+    want = {(r["request_id"], r["claim_index"]): (r["verdict"], r["reason"], r["doc_id"]) for r in G.evaluate_claim(each, "request_id", "claim_index").collect()}
+    seen = known.select("request_id", F.explode("claim_verdicts").alias("v")).where(F.col("v.e.doc_id").isNotNull()).collect()
+    assert len(want) >= 5 and {(r["request_id"], r["v"]["claim_index"]): (r["v"]["e"]["verdict"], r["v"]["e"]["reason"], r["v"]["e"]["doc_id"]) for r in seen} == want
+
+
+def test_encoder_and_best_in_bulk(monkeypatch):
+    """3-grams of all texts at once equal those of each alone; small bases sorted whole give what the selection gives, ties too."""
+    texts = ["", "a", "  Two   Words ", "Ünï cödé ☃", "same", "same", "x" * 500]
+    encode = hooks.hashed_ngrams()
+    assert np.array_equal(encode(texts), np.concatenate([encode([t]) for t in texts])) and encode([]).shape == (0, hooks.HASH_DIM)
+    data = np.frombuffer(" two words ".encode(), np.uint8).astype(np.uint32)
+    counts = np.bincount((((data[:-2] << 16) | (data[1:-1] << 8) | data[2:]) * np.uint32(2654435761)) >> 24, minlength=hooks.HASH_DIM)
+    assert np.array_equal(encode(texts)[2], counts / np.linalg.norm(counts))
+    rng = np.random.default_rng(4)
+    base, queries = rng.integers(-1, 2, (40, 3)).astype(float), rng.integers(-1, 2, (50, 3)).astype(float)
+    small = [retrieval._best(queries, base, k) for k in (1, 3, 60)]
+    monkeypatch.setattr(retrieval, "SORTED_ROWS", 0)
+    assert small == [retrieval._best(queries, base, k) for k in (1, 3, 60)]
